@@ -1,0 +1,10 @@
+"""Training-data operators. Nothing outside this subpackage imports it.
+
+The modules' functions travel to the executors by value, so the executors need no copy of the code.
+"""
+
+import sys
+
+from pyspark import cloudpickle
+
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
