@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .decontaminate import op8_query
+from .substring import op5_query
 
-QUERIES = {"op8_decontaminate": op8_query}
+QUERIES = {"op5_substring_dedup": op5_query, "op8_decontaminate": op8_query}
 ORACLES: dict[str, str] = {}
