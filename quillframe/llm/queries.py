@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from .decontaminate import op8_query
+from .embeddings import op9_query
 from .jaccard import op6_query
 from .substring import op5_query
 
-QUERIES = {"op5_substring_dedup": op5_query, "op6_ngram_jaccard": op6_query, "op8_decontaminate": op8_query}
+QUERIES = {"op5_substring_dedup": op5_query, "op6_ngram_jaccard": op6_query, "op8_decontaminate": op8_query, "op9_embedding_dedup": op9_query}
 ORACLES: dict[str, str] = {}
