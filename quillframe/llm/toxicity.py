@@ -17,6 +17,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import _text as t
 from .learn import ROWS_PER_CLASS, TEXT_BYTES, labelled_sample, remainder, sigmoid, word_grams
@@ -130,7 +131,7 @@ def scored(docs: DataFrame, model: Model, text: str = "text", name: str = "score
         for b in batches:
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(held.value.score(b.column(text)), pa.float64())], names=[*b.schema.names, name])
 
-    return docs.mapInArrow(run, docs.schema.add(name, "double"))
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(name, T.DoubleType())]))
 
 
 def op2_query(spark, sf_dir: str) -> DataFrame:
