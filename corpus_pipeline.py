@@ -1,20 +1,55 @@
-"""A corpus pipeline in stages; each is written and read again before the next."""
+"""A corpus pipeline in stages; each is written and read again before the next.
+
+Each stage takes (spark, docs, sf_dir) and works on all that its predecessor kept.
+"""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from quillframe.llm import decontaminate, jaccard, mixing, sharding
+from quillframe.llm import toxicity as toxic
+from quillframe.llm.shared import shared_dir
+
+
+def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents scored 0.5 or more go."""
+    model = toxic.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return toxic.scored(docs, model, name="__score").where("__score < 0.5").select(*docs.columns)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies stays, the one with the least doc_id; so does a document in no group."""
+    found = jaccard.near_duplicates(docs).where("doc_id <> component_id").select(F.col("doc_id")).distinct()
+    return docs.join(found, "doc_id", "left_anti").select(*docs.columns)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Passages that hold a window of ten words of the benchmark are cut out; a document that is nothing else goes."""
+    return decontaminate.remove_spans(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
 
-from quillframe.llm.decontaminate import remove_spans
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """A sample by probabilities fitted to targets of source, language and topic."""
+    return mixing.sample(docs)
 
 
-def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Cuts out the passages that hold a window of ten words of the benchmark."""
-    return remove_spans(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, size, text_crc32, law, shard, slot, grown_shard."""
+    return sharding.assign(docs).select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
-STAGES = [("decontaminate", decontaminate)]
+STAGES = [("toxicity", toxicity), ("near_duplicates", near_duplicates), ("decontamination", decontamination), ("mixing", mix), ("sharding", shard)]
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    out, docs = None, spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES:
+        path = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}-{name}"
+        stage(spark, docs if out is None else out, sf_dir).write.parquet(path)
+        out = spark.read.parquet(path)
+    return out
