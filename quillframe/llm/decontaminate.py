@@ -89,8 +89,9 @@ class _Shard:
             row = t.rows_of(at)
             self.edges.append(((starts - own[row]).astype(np.int32), (ends - own[row]).astype(np.int32)))
             hashes = self.hasher.ranges(part, starts, ends)
-            place = np.minimum(np.searchsorted(self.p.vocabulary, hashes), len(self.p.vocabulary) - 1)
-            known = self.p.vocabulary[place] == hashes
+            place = np.searchsorted(self.p.vocabulary, hashes)
+            known = place < len(self.p.vocabulary)
+            known[known] = self.p.vocabulary[place[known]] == hashes[known]
             # pieces: runs of known words within a document
             flag = np.zeros(len(known) + 1, bool)
             flag[:-1] = known
