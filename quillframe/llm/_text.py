@@ -13,7 +13,7 @@ import pyarrow as pa
 
 U64 = np.uint64
 #: Bytes of text that one step of the columnar code works on (a longer document is a step alone).
-CHUNK_BYTES = 1 << 21
+CHUNK_BYTES = 1 << 19
 
 
 def _odd_random(seed: int, n: int) -> np.ndarray:

@@ -24,6 +24,8 @@ from .learn import TEXT_BYTES, labelled_sample, remainder, word_grams
 
 SIZES = (1, 2, 3, 4, 5)
 ROWS_PER_CLASS = 500
+#: Bytes of text that a step of the fit works on.
+FIT_BYTES = 1 << 18
 MOST_WORDS, MOST_GRAMS = 200_000, 50_000
 UNDETERMINED = "und"
 
@@ -33,10 +35,10 @@ def letters() -> np.ndarray:
     return np.packbits(np.fromiter((chr(c).isalpha() for c in range(0x110000)), bool, 0x110000))
 
 
-def _words(column: pa.Array, letter: np.ndarray, hasher: t.Hasher) -> Iterator[tuple]:
+def _words(column: pa.Array, letter: np.ndarray, hasher: t.Hasher, most: int = t.CHUNK_BYTES) -> Iterator[tuple]:
     """By step: (hashes of characters, starts and ends of the words, the rows' offsets into the words)."""
     data, offsets = t.text_buffers(pc.utf8_lower(column.cast(pa.large_string())))
-    for i, j in t.steps(offsets):
+    for i, j in t.steps(offsets, most):
         part = data[offsets[i] : offsets[j]]
         points = np.frombuffer(part.tobytes().decode("utf-8", "replace").encode("utf-32-le"), "<u4")
         own = np.concatenate([[0], np.cumsum((part & 0xC0) != 0x80)])[offsets[i : j + 1] - offsets[i]]
@@ -56,22 +58,25 @@ class Model:
         names, label = np.unique(np.array(languages, dtype=object).astype(str), return_inverse=True) if languages else (np.array([], str), np.zeros(0, np.int64))
         packed, hasher = letters(), t.Hasher()
         letter = np.unpackbits(packed).astype(bool)
-        found: dict[int, list] = {n: [] for n in (0, *SIZES)}
+        counted: dict[int, tuple[np.ndarray, np.ndarray]] = {n: (np.zeros(0, t.U64), np.zeros((0, len(names)))) for n in (0, *SIZES)}
+
+        def add(n: int, hashes: np.ndarray, row: np.ndarray) -> None:
+            old, counts = counted[n]
+            keys, which = np.unique(np.concatenate([old, hashes]), return_inverse=True)
+            own = which[len(old) :]
+            total = np.bincount(own * len(names) + row, minlength=len(keys) * len(names)).reshape(len(keys), len(names)).astype(np.float64)
+            total[which[: len(old)]] += counts
+            counted[n] = keys, total
+
         done = 0
-        for values, starts, ends, at in _words(pa.array(texts, pa.string()), letter, hasher):
+        for values, starts, ends, at in _words(pa.array(texts, pa.string()), letter, hasher, FIT_BYTES):
             row = label[t.rows_of(at) + done]
-            words = hasher.spans(values, starts, ends)
-            found[0].append((words, row))
+            add(0, hasher.spans(values, starts, ends), row)
             for n, (word, grams) in word_grams(values, starts, ends, hasher, SIZES, 1, 2).items():
-                found[n].append((grams, row[word]))
+                add(n, grams, row[word])
             done += len(at) - 1
         tables = {}
-        for n, parts in found.items():
-            if not parts:
-                tables[n] = (np.zeros(0, t.U64), np.zeros((0, len(names)), np.float32))
-                continue
-            keys, which = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
-            counts = np.bincount(which * len(names) + np.concatenate([p[1] for p in parts]), minlength=len(keys) * len(names)).reshape(len(keys), len(names)).astype(np.float64)
+        for n, (keys, counts) in counted.items():
             total, most = counts.sum(1), most_grams if n else most_words
             keep = np.sort(np.argsort(-total, kind="stable")[:most])
             keep = keep[total[keep] >= 2]
