@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 
 from . import _text as t
 from .fm import FMIndex, interval_rows
+from .shared import shipped
 
 WINDOW = 10
 #: Bytes of phrase text that one block may hold; more phrases take more blocks, each a pass over the shards.
@@ -186,12 +187,12 @@ def _merged(lists: list[list[tuple]]) -> list[tuple]:
 
 def hits(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, shard_words: int = SHARD_WORDS, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """doc_id, n_words, spans (merged runs of hit words, with their bytes) and item_ids (sorted) of every document."""
-    blocks = [docs.sparkSession.sparkContext.broadcast(p) for p in phrase_blocks(items, item_id, item_text, window, block_bytes)] or [docs.sparkSession.sparkContext.broadcast(Phrases([], [], window))]
+    blocks = [shipped(docs.sparkSession, p) for p in phrase_blocks(items, item_id, item_text, window, block_bytes)] or [shipped(docs.sparkSession, Phrases([], [], window))]
     own = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     kind = dict(own.dtypes)["doc_id"]
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b, n, spans, ids in _shards(batches, [x.value for x in blocks], "text", shard_words):
+        for b, n, spans, ids in _shards(batches, [x() for x in blocks], "text", shard_words):
             span = pa.struct([(x, pa.int64()) for x in ("first", "last", "first_byte", "last_byte")])
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n, pa.int64()), pa.array([[dict(zip(("first", "last", "first_byte", "last_byte"), s, strict=True)) for s in x] for x in spans], pa.list_(span)), pa.array(ids, pa.list_(pa.string()))], names=["doc_id", "n_words", "spans", "item_ids"])
 
@@ -202,13 +203,13 @@ def remove_spans(docs: DataFrame, items: DataFrame, text: str = "text", length:
     """The documents without the hit spans, all columns kept; a document that is nothing but hits goes.
 
     A removed span leaves one line break, so that its neighbours don't run together."""
-    blocks = [docs.sparkSession.sparkContext.broadcast(p) for p in phrase_blocks(items, window=window)]
+    blocks = [shipped(docs.sparkSession, p) for p in phrase_blocks(items, window=window)]
     if not blocks:
         return docs
     place = docs.columns.index(text)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b, n, spans, _ in _shards(batches, [x.value for x in blocks], text, shard_words):
+        for b, n, spans, _ in _shards(batches, [x() for x in blocks], text, shard_words):
             texts = b.column(text)
             new = {}
             for k, s in enumerate(spans):

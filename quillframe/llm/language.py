@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 
 from . import _text as t
 from .learn import TEXT_BYTES, labelled_sample, remainder, word_grams
+from .shared import shipped
 
 SIZES = (1, 2, 3, 4, 5)
 ROWS_PER_CLASS = 500
@@ -135,11 +136,12 @@ def train(docs: DataFrame, per_class: int = ROWS_PER_CLASS, text_bytes: int = TE
 def identify(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, lang_pred, score."""
     own = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    held = docs.sparkSession.sparkContext.broadcast(model)  # of bounded size
+    held = shipped(docs.sparkSession, model)  # of bounded size
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = held()
         for b in batches:
-            names, scores = held.value.predict(b.column("text"))
+            names, scores = model.predict(b.column("text"))
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(names, pa.string()), pa.array(scores, pa.float64())], names=["doc_id", "lang_pred", "score"])
 
     return own.mapInArrow(run, f"doc_id {dict(own.dtypes)['doc_id']}, lang_pred string, score double")

@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import atexit
+import pickle
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -41,6 +43,12 @@ def written(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def shipped(spark: SparkSession, value: object) -> Callable[[], object]:
+    """A value of checked size for the executors: broadcast as bytes that bring their classes along."""
+    held = spark.sparkContext.broadcast(cloudpickle.dumps(value))
+    return lambda: pickle.loads(held.value)
+
+
 #: Cells of the sketch: its size does not grow with the input.
 CELLS_BITS = 18
 _BLOCKS = 256
