@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import scalars as s
-from ..operators import chunk, combine, profile, render
+from ..operators import chunk, combine, convert, profile, render
 from ..operators.records import Field, Rules, bind, first_error_only, tool_arguments, validate_values
 from ..operators.route import Routed, tag_counts
 from ..sources import packed
@@ -518,3 +518,22 @@ def xlsx_dates(spark, sf_dir):
     data = packed.workbook({"s": (["d", "b", "n"], [[dt.date(2024, 2, 29), True, 1.5]])})
     rows = packed.read_workbooks(spark.createDataFrame([(data,)], "content binary"), "s").where("row_number = 2")
     return rows.select(*[F.element_at("cells", k + 1).alias(n) for k, n in enumerate(("day", "flag", "number"))])
+
+
+@query("SELECT c_custkey, c_name, CAST(c_acctbal AS DECIMAL(18,2)) AS c_acctbal FROM customer")
+def csv_to_packed_and_back(spark, sf_dir):
+    cells = split_lines(lines_of(table(spark, sf_dir, "customer"), F.col("c_custkey"), ["c_custkey", "c_name", "c_acctbal"]))
+    files = convert.convert("csv", "packed", cells, spec=[Field("c_custkey", "long"), Field("c_name"), Field("c_acctbal", "double")])
+    lines = convert.convert("packed", "csv", files, schema="c_custkey bigint, c_name string, c_acctbal double")
+    rows = split_lines(lines.withColumn("row_number", F.lit(1)))
+    return bind(rows, [Field("c_custkey", "long"), Field("c_name"), Field("c_acctbal", "double")]).rows.withColumn("c_acctbal", F.col("c_acctbal").cast("decimal(18,2)"))
+
+
+@query("SELECT n_nationkey + 2 AS row_number, n_nationkey || ',' || n_name || ',' || n_regionkey AS value FROM nation")
+def xlsx_to_csv(spark, sf_dir):
+    return convert.convert("xlsx", "csv", _book(spark, sf_dir)).where("row_number > 1").withColumn("row_number", F.col("row_number").cast("int"))
+
+
+@query("SELECT c_custkey AS row_number, rpad(c_mktsegment, (SELECT greatest(5, max(length(c_mktsegment)) + 2) FROM customer)::INT, ' ') AS value FROM customer")
+def csv_to_fixed_auto(spark, sf_dir):
+    return convert.convert("csv", "txt", split_lines(lines_of(table(spark, sf_dir, "customer"), F.col("c_custkey"), ["c_mktsegment"])), header=["c_mktsegment"])
