@@ -7,9 +7,9 @@ one among its first ninth. Inverted lists hold these shingles with set size and
 
 Skipping by position: within a list, sorted by size, a set meets only the block of sizes that can link; positions and
 a parity bitmap (a lower bound of the symmetric difference) rule out most of the rest before any set is fetched.
-Skipping by set relation: first every set of a list meets only the head of its block. The verified links' components then
-settle the list: sets whose similar neighbours put them in one component take each other's answers, and only pairs of different
-components meet in the second round. Links are exact; only the component is derived.
+Skipping by set relation: first every set of a list is held against one partner in question only, another one in each list. The
+verified links' components then settle the lists: sets whose similar neighbours put them in one component take each other's
+answers, and only pairs of different components meet in the second round. Links are exact; only the component is derived.
 
 Defined results: null and wordless texts are empty sets, linked with nothing; fewer than five words are one shingle; a row
 without id has itself as no component (null); rows that repeat are equal sets; other columns are ignored.
@@ -106,21 +106,20 @@ def _prefixes(levels: np.ndarray):
     return run
 
 
-def _segments(token: np.ndarray, n: np.ndarray) -> np.ndarray:
-    """True where a list begins, or a block of it that no smaller set can link into."""
-    return np.concatenate([[True], (token[1:] != token[:-1]) | (100 * n[:-1].astype(np.int64) < PERCENT * n[1:])])
-
-
 def _lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows sorted by token, size and set: those in blocks of two sets or more."""
+    """Of rows sorted by token, size and set: those that sizes and positions leave a partner in their list."""
     held = [np.zeros(0, x) for x in (np.int64, np.int64, np.int32, np.int32)]
 
     def settle(rows: list[np.ndarray]) -> list[np.ndarray]:
         fresh = np.concatenate([[True], (rows[0][1:] != rows[0][:-1]) | (rows[1][1:] != rows[1][:-1])])
         rows = [x[fresh] for x in rows]
-        block = np.cumsum(_segments(rows[0], rows[2])) - 1
-        many = np.bincount(block)[block] > 1
-        return [x[many] for x in rows]
+        x = dict(zip(("token", "sid", "n", "pos"), (c.astype(np.int64) for c in rows), strict=True))
+        many = np.zeros(len(rows[0]), bool)
+        for i, j in _pairs_in_question(x):
+            need = _needed(x["n"][i], x["n"][j])
+            ok = np.minimum(x["n"][i] - x["pos"][i], x["n"][j] - x["pos"][j]) >= need
+            many[i[ok]] = many[j[ok]] = True
+        return [c[many] for c in rows]
 
     def batch(rows: list[np.ndarray]) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(x) for x in rows], names=["token", "sid", "n", "pos"])
@@ -139,7 +138,7 @@ def _lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _can_link(x: dict, i: np.ndarray, j: np.ndarray) -> np.ndarray:
     """Positions and bitmaps leave the pairs (i, j) of a list in question; the set i is not the larger one."""
     need = _needed(x["n"][i], x["n"][j])
-    ok = (1 + np.minimum(x["n"][i] - x["pos"][i], x["n"][j] - x["pos"][j]) - 1 >= need) & (100 * x["n"][i] >= PERCENT * x["n"][j])
+    ok = (np.minimum(x["n"][i] - x["pos"][i], x["n"][j] - x["pos"][j]) >= need) & (100 * x["n"][i] >= PERCENT * x["n"][j])
     i, j, need, at = i[ok], j[ok], need[ok], np.flatnonzero(ok)
     most = x["n"][i] + x["n"][j] - 2 * need  # of the symmetric difference
     good = np.ones(len(i), bool)
@@ -147,7 +146,7 @@ def _can_link(x: dict, i: np.ndarray, j: np.ndarray) -> np.ndarray:
     for size in np.unique(sizes):
         k = np.flatnonzero(sizes == size)
         own = np.unique(np.concatenate([i[k], j[k]]))
-        rows = np.stack([np.bitwise_xor.reduce(np.frombuffer(x["bits"][r], "<u8").reshape(-1, size // 8), 0) for r in own.tolist()])
+        rows = np.stack([np.bitwise_xor.reduce(np.frombuffer(x["bits"][r].as_buffer(), "<u8").reshape(-1, size // 8), 0) for r in own.tolist()])
         for c in range(0, len(k), STEP_PAIRS // 8):
             part = k[c : c + STEP_PAIRS // 8]
             differ = np.bitwise_count(rows[np.searchsorted(own, i[part])] ^ rows[np.searchsorted(own, j[part])]).sum(1, dtype=np.int64)
@@ -157,57 +156,62 @@ def _can_link(x: dict, i: np.ndarray, j: np.ndarray) -> np.ndarray:
     return out
 
 
-def _meet(stars: bool):
-    """Pairs in question within each list: of a block's head with the others, or of sets of different components."""
-
-    def pairs(x: dict) -> tuple[np.ndarray, np.ndarray]:
-        start = _segments(np.zeros(len(x["n"])), x["n"])
-        head = np.maximum.accumulate(np.where(start, np.arange(len(start)), 0))
-        if stars:
-            # heads anew where the first of the block is too small
-            i, j = [], []
-            for a in np.flatnonzero(start).tolist():
-                b = int(np.searchsorted(head, a, "right"))
-                while a < b:
-                    c = a + int(np.searchsorted(x["n"][a:b] * PERCENT, 100 * x["n"][a], "right"))
-                    j.append(np.arange(a + 1, min(c, b)))
-                    i.append(np.full(len(j[-1]), a))
-                    a = max(c, a + 1) if c < b else b
-            i, j = np.concatenate(i), np.concatenate(j)
-            ok = _can_link(x, i, j)
-            return i[ok], j[ok]
-        # the shorter set has the shingle among its first ninth
-        index = x["pos"] <= x["n"] - _needed(x["n"], x["n"])
-        until = np.searchsorted(x["n"] * PERCENT, 100 * x["n"], "right")
-        out_i, out_j, todo = [], [], np.flatnonzero(index & (until > np.arange(len(until)) + 1))
-        length = np.maximum(until - np.arange(len(until)) - 1, 0)
-        while len(todo):
-            k = max(1, int(np.searchsorted(np.cumsum(length[todo]), STEP_PAIRS)))
-            part, todo = todo[:k], todo[k:]
-            i = np.repeat(part, length[part])
-            j = np.arange(len(i)) - np.repeat(np.cumsum(length[part]) - length[part], length[part]) + i + 1
+def _pairs_in_question(x: dict) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Of rows sorted by token and size: by step, the pairs of a list that sizes leave, the shorter set first."""
+    n = x["n"]
+    group = np.cumsum(np.concatenate([[0], x["token"][1:] != x["token"][:-1]])) << 40
+    # the shorter set has the shingle among its first ninth; it meets the block of sizes up to 100 / PERCENT of its own
+    until = np.searchsorted(group + n, group + 100 * n // PERCENT, "right")
+    length = np.where(x["pos"] <= n - _needed(n, n), until - np.arange(len(n)) - 1, 0)
+    todo = np.flatnonzero(length > 0)
+    total = np.cumsum(length[todo])
+    while len(todo):
+        k = max(1, int(np.searchsorted(total, total[0] - length[todo[0]] + STEP_PAIRS)))
+        part, todo, total = todo[:k], todo[k:], total[k:]
+        i = np.repeat(part, length[part])
+        yield i, np.arange(len(i)) - np.repeat(np.cumsum(length[part]) - length[part], length[part]) + i + 1
+
+
+def _first_of_each(key: np.ndarray, order: np.ndarray) -> np.ndarray:
+    """For each key the item that comes first by order."""
+    by = np.lexsort((order, key))
+    return by[np.concatenate([[True], key[by][1:] != key[by][:-1]])] if len(by) else by
+
+
+def _meet(every: bool):
+    """Pairs in question within each list, of sets of different components: every one, or one partner for each row, chosen by a
+    hash, so that a list gives fewer pairs than it has rows and a group's many lists give different ones."""
+
+    def pairs(rows: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+        import pyarrow.compute as pc
+
+        rows = rows.combine_chunks()
+        component, token = rows.column("component").to_numpy(), rows.column("token").to_numpy()
+        edge = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
+        size = np.diff(np.concatenate([edge, [len(token)]]))
+        settled = np.repeat(np.minimum.reduceat(component, edge) == np.maximum.reduceat(component, edge), size)
+        rows = rows.filter(pa.array(~settled)).combine_chunks()
+        if not rows.num_rows:
+            return (np.zeros(0, np.int64),) * 2
+        x = {k: rows.column(k).to_numpy().astype(np.int64) for k in ("token", "sid", "component", "n", "pos")}
+        x["bytes"], x["bits"] = pc.binary_length(rows.column("bits")).to_numpy().astype(np.int64), rows.column("bits").combine_chunks()
+        found = []
+        for i, j in _pairs_in_question(x):
             other = x["component"][i] != x["component"][j]
             i, j = i[other], j[other]
             ok = _can_link(x, i, j)
-            out_i.append(i[ok])
-            out_j.append(j[ok])
-        return (np.concatenate(out_i), np.concatenate(out_j)) if out_i else (np.zeros(0, np.int64),) * 2
+            i, j = i[ok], j[ok]
+            if not every:
+                one = _first_of_each(j, t.mix((x["sid"][i] ^ x["token"][i]).view(t.U64)))
+                i, j = i[one], j[one]
+            found.append((i, j))
+        i, j = (np.concatenate(c) for c in zip(*found, strict=True)) if found else (np.zeros(0, np.int64),) * 2
+        if not every:
+            one = _first_of_each(j, t.mix((x["sid"][i] ^ x["token"][i]).view(t.U64)))
+            i, j = i[one], j[one]
+        return x["sid"][i], x["sid"][j]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import pyarrow.compute as pc
-
-        def one(tables: list[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-            b = pa.Table.from_batches(tables).combine_chunks()
-            x = {k: b.column(k).to_numpy() for k in ("token", "sid", "component")} | {k: b.column(k).to_numpy().astype(np.int64) for k in ("n", "pos")}
-            x["bytes"], raw = pc.binary_length(b.column("bits")).to_numpy().astype(np.int64), b.column("bits").to_pylist()
-            edge = np.flatnonzero(np.concatenate([[True], x["token"][1:] != x["token"][:-1], [True]]))
-            settled = np.minimum.reduceat(x["component"], edge[:-1]) == np.maximum.reduceat(x["component"], edge[:-1])
-            for a, c, done in zip(edge[:-1].tolist(), edge[1:].tolist(), settled.tolist(), strict=True):
-                if not done or stars:
-                    own = {k: v[a:c] for k, v in x.items()} | {"bits": raw[a:c]}
-                    i, j = pairs(own)
-                    yield own["sid"][i], own["sid"][j]
-
         def out(found: list[tuple]) -> pa.RecordBatch:
             i, j = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.int64),) * 2
             both = np.unique(np.stack([np.minimum(i, j), np.maximum(i, j)], 1), axis=0)
@@ -219,14 +223,10 @@ def _meet(stars: bool):
             if not b.num_rows:
                 continue
             token = b.column("token").to_numpy()
-            cut = int(np.searchsorted(token, token[-1]))
-            if held and (cut or held[-1].column("token")[-1].as_py() != token[0]):
-                held.append(b.slice(0, cut))
-                found.extend(one(held))
+            cut = int(np.searchsorted(token, token[-1]))  # where the last list of the batch begins
+            if sum(x.num_rows for x in held) + cut >= 1 << 15 and (cut or held[-1].column("token")[-1].as_py() != token[0]):
+                found.append(pairs(pa.Table.from_batches([*held, b.slice(0, cut)])))
                 held, b = [], b.slice(cut)
-            elif cut:
-                found.extend(one([b.slice(0, cut)]))
-                b = b.slice(cut)
             held.append(b)
             if sum(len(x[0]) for x in found) >= 1 << 18:
                 found = [tuple(c.to_numpy() for c in out(found).columns)]
@@ -234,7 +234,7 @@ def _meet(stars: bool):
                     yield out(found)
                     found = []
         if held:
-            found.extend(one(held))
+            found.append(pairs(pa.Table.from_batches(held)))
         yield out(found)
 
     return run
@@ -281,20 +281,20 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     rows = own.where("doc is not null and text is not null").mapInArrow(_prefixes(levels), "token bigint, sid bigint, n int, pos int")
     lists = written(rows.repartition("token").sortWithinPartitions("token", "n", "sid").mapInArrow(_lists, "token bigint, sid bigint, n int, pos int"))
 
-    def meet(known: DataFrame, stars: bool) -> DataFrame:
+    def meet(known: DataFrame, every: bool) -> DataFrame:
         full = lists.join(known, "sid").select("token", "sid", "n", "pos", "bits", "component")
-        return written(full.repartition("token").sortWithinPartitions("token", "n", "sid").mapInArrow(_meet(stars), "a bigint, b bigint").distinct())
+        return written(full.repartition("token").sortWithinPartitions("token", "n", "sid").mapInArrow(_meet(every), "a bigint, b bigint").distinct())
 
     bits = owners.select("sid", "bits")
-    first = _links(meet(bits.withColumn("component", F.col("sid")), True), owners, own)
+    first = _links(meet(bits.withColumn("component", F.col("sid")), False), owners, own)
     so_far = components(first).select(F.col("node").alias("sid"), "component")
     known = bits.join(so_far, "sid", "left").select("sid", "bits", F.coalesce("component", "sid").alias("component"))
-    second = _links(meet(known, False), owners, own)
+    second = _links(meet(known, True), owners, own)
     of = components(first.unionByName(second)).select(F.col("node").alias("sid"), F.col("component").alias("cluster"))
     owned = owners.select("sid", "doc").join(of, "sid", "left").select("sid", "doc", F.coalesce("cluster", "sid").alias("cluster"))
     least = owned.groupBy("cluster").agg(F.min("doc").alias("component_id"))
     named = owned.join(least, "cluster").select("sid", "component_id")
-    return sets.select("doc", "sid", "n").join(named, "sid", "left").select(F.col("doc").alias("doc_id"), F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc").alias("component_id"))
+    return sets.select("doc", "sid", "n").join(named, "sid", "left").select(F.col("doc").alias("doc_id"), F.col("n").alias("n_shingles"), F.when(F.col("doc").isNotNull(), F.coalesce("component_id", "doc")).alias("component_id"))
 
 
 def brute(docs: list[tuple]) -> list[tuple]:
