@@ -23,7 +23,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -
         both = now.select("u", "v").unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u"), F.least("u", "m").alias("m"))
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = large.unionByName(least.where("m < u").select("u", F.col("m").alias("v"))).where("v < u").distinct()
+        large = large.unionByName(least.where("m < u").select("u", F.col("m").alias("v"))).where("v < u")  # repeats go in the small star
         small_least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(small_least, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
         now = written(small.where("v < u").distinct())
