@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from quillframe.llm import decontaminate, jaccard, mixing, sharding
 from quillframe.llm import toxicity as toxic
-from quillframe.llm.shared import shared_dir
+from quillframe.llm.shared import release, shared_dir, tables_written
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -50,6 +50,8 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     out, docs = None, spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
         path = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}-{name}"
+        before = tables_written()
         stage(spark, docs if out is None else out, sf_dir).write.parquet(path)
+        release(spark, before)
         out = spark.read.parquet(path)
     return out

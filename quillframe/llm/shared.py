@@ -26,22 +26,34 @@ def shared_dir(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
+_WRITTEN: list[str] = []
+
+
 def written(df: DataFrame) -> DataFrame:
-    """The same rows, written to the shared folder and read again; the files go when the driver ends."""
+    """The same rows, written to the shared folder and read again; ``release`` drops the files, at the latest when the driver ends."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/quillframe-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    if not _WRITTEN:
+        atexit.register(release, spark)
+    _WRITTEN.append(path)
+    return spark.read.schema(df.schema).parquet(path)
+
 
-    def drop() -> None:
+def tables_written() -> int:
+    return len(_WRITTEN)
+
+
+def release(spark: SparkSession, but: int = 0) -> None:
+    """Drops the tables of ``written`` but the first ones: for callers who have stored what they made of them since."""
+    while len(_WRITTEN) > but:
+        path = _WRITTEN.pop()
         try:
             p = spark._jvm.org.apache.hadoop.fs.Path(path)
             p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
         except Exception:  # noqa: BLE001  the session may have ended already
             return
 
-    atexit.register(drop)
-    return spark.read.schema(df.schema).parquet(path)
-
 
 def shipped(spark: SparkSession, value: object) -> Callable[[], object]:
     """A value of checked size for the executors: broadcast as bytes that bring their classes along."""
