@@ -20,19 +20,23 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import _text as t
+from .fm import interval_rows
 from .learn import ROWS_PER_CLASS, TEXT_BYTES, labelled_sample, remainder, sigmoid, word_grams
+from .shared import shipped
 
 CELLS_BITS, SIZES, DIMENSIONS, ROUNDS, RATE = 17, (3, 4, 5, 6), 4, 40, 0.3
 #: Cells that get vectors; the others count as zero in the mean.
 VOCABULARY = 1000
 DECAY = 1e-3
+#: Bytes of text that a step of the fit works on.
+FIT_BYTES = 1 << 17
 
 
-def _bags(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+def _bags(column: pa.Array, most: int = t.CHUNK_BYTES) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
     """By step: (cells of the distinct words' subwords, their word, the word of each place, the rows' offsets into the places)."""
     hasher, (_, alnum, _) = t.Hasher(), t.byte_classes()
     data, offsets = t.text_buffers(pc.utf8_lower(column.cast(pa.large_string())))
-    for i, j in t.steps(offsets):
+    for i, j in t.steps(offsets, most):
         part, own = data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
         starts, ends, at = t.word_ranges(part, own, alnum)
         words, first, which = np.unique(hasher.ranges(part, starts, ends), return_index=True, return_inverse=True)
@@ -52,32 +56,20 @@ class Model:
         cells = 1 << CELLS_BITS
         if len(set(labels.tolist())) < 2:
             return cls(np.zeros(cells), float(np.log((prior + 1e-6) / (1 - prior + 1e-6))))
-        rows, columns, values, done = [], [], [], 0
-        for cell, word, which, at in _bags(pa.array(texts, pa.string())):
-            part = np.bincount(word)
-            row = t.rows_of(at)
-            n = np.maximum(np.diff(at), 1)
-            pair, count = np.unique(row * len(part) + which, return_counts=True)
-            row, w = pair // max(len(part), 1), pair % max(len(part), 1)
-            by = np.argsort(word, kind="stable")
-            edge = np.concatenate([[0], np.cumsum(part)])
-            take = np.repeat(edge[w], part[w]) + np.arange(part[w].sum()) - np.repeat(np.cumsum(part[w]) - part[w], part[w])
-            rows.append(np.repeat(row, part[w]) + done)
-            columns.append(cell[by][take])
-            values.append(np.repeat(count / n[row] / part[w], part[w]))
-            done += len(at) - 1
-        rows, columns, values = (np.concatenate(x) for x in (rows, columns, values))
-        key, inverse = np.unique(rows * cells + columns, return_inverse=True)
-        values = np.bincount(inverse, values).astype(np.float32)
-        rows, columns = key // cells, key % cells
         # the vocabulary: cells whose share of texts differs most between the classes, in standard errors
-        n1 = np.bincount(columns, labels[rows], cells)
-        n, total = np.bincount(columns, minlength=cells), np.bincount(labels, minlength=2)
+        n, n1 = np.zeros(cells), np.zeros(cells)
+        for row, column, _ in cls._entries(texts):
+            n += np.bincount(column, minlength=cells)
+            n1 += np.bincount(column, labels[row], cells)
+        total = np.bincount(labels, minlength=2)
         with np.errstate(divide="ignore", invalid="ignore"):
             gap = np.abs(n1 / total[1] - (n - n1) / total[0]) / np.sqrt(n / len(texts) * (1 - n / len(texts)) * (1 / total[0] + 1 / total[1]))
         chosen = np.zeros(cells, bool)
         chosen[np.argsort(-np.nan_to_num(gap), kind="stable")[:VOCABULARY]] = True
-        rows, columns, values = rows[chosen[columns]], columns[chosen[columns]], values[chosen[columns]]
+        kept = [tuple(x[chosen[e[1]]] for x in e) for e in cls._entries(texts)]
+        rows, columns, values = (np.concatenate(x) for x in zip(*kept, strict=True))
+        if not len(rows):
+            return cls(np.zeros(cells), float(np.log((prior + 1e-6) / (1 - prior + 1e-6))))
         used, columns = np.unique(columns, return_inverse=True)
         by = np.argsort(columns, kind="stable")
         row_edge, column_edge = np.searchsorted(rows, np.arange(len(texts))), np.searchsorted(columns[by], np.arange(len(used)))
@@ -107,6 +99,23 @@ class Model:
         weights[used] = e @ (w[:, 1] - w[:, 0]) * scale
         return cls(weights, float(b[1] - b[0]))
 
+    @staticmethod
+    def _entries(texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(text, cell, share of the text's mean) by step, each pair of text and cell once."""
+        done = 0
+        for cell, word, which, at in _bags(pa.array(texts, pa.string()), FIT_BYTES):
+            part = np.bincount(word)
+            n = np.maximum(np.diff(at), 1)
+            pair, count = np.unique(t.rows_of(at) * max(len(part), 1) + which, return_counts=True)
+            row, w = pair // max(len(part), 1), pair % max(len(part), 1)
+            by = np.argsort(word, kind="stable")
+            edge = np.concatenate([[0], np.cumsum(part)])
+            take = interval_rows(edge[w], edge[w + 1])[1]
+            key, inverse = np.unique(np.repeat(row, part[w]) * (1 << CELLS_BITS) + cell[by][take], return_inverse=True)
+            values = np.bincount(inverse, np.repeat(count / n[row] / part[w], part[w]), len(key)).astype(np.float32)
+            yield (key >> CELLS_BITS) + done, key & ((1 << CELLS_BITS) - 1), values
+            done += len(at) - 1
+
     def score(self, column: pa.Array) -> np.ndarray:
         out = []
         for cell, word, which, at in _bags(column):
@@ -125,11 +134,12 @@ def scored(docs: DataFrame, model: Model, text: str = "text", name: str = "score
     """All columns and the score, under a name that must be free."""
     if name.lower() in {c.lower() for c in docs.columns}:
         raise ValueError(f"column {name} exists")
-    held = docs.sparkSession.sparkContext.broadcast(model)  # of fixed size
+    held = shipped(docs.sparkSession, model)  # of fixed size
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = held()
         for b in batches:
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(held.value.score(b.column(text)), pa.float64())], names=[*b.schema.names, name])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(model.score(b.column(text)), pa.float64())], names=[*b.schema.names, name])
 
     return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(name, T.DoubleType())]))
 
