@@ -418,12 +418,12 @@ def merge_duplicates(spark, sf_dir):
     return render.merge_duplicates(table(spark, sf_dir, "orders").where("o_orderkey <= 2000"), "o_orderstatus", "o_orderkey")
 
 
-@query("SELECT vec_id, len(embedding) AS n, round(list_sum(list_transform(embedding, lambda x: x::DOUBLE)), 3) AS total FROM embeddings")
+@query("SELECT vec_id, len(embedding) AS n, round(list_sum(list_transform(embedding, lambda x: x::DOUBLE)), 3) + 0.0 AS total FROM embeddings")
 def vector_parse(spark, sf_dir):
     e = table(spark, sf_dir, "embeddings")
     text = F.concat(F.lit("[ "), F.array_join(F.transform("embedding", lambda x: x.cast("string")), "; "), F.lit(" ]"))
     v = s.parse_vector(text)
-    return e.select("vec_id", F.size(v).alias("n"), F.round(F.aggregate(v, F.lit(0.0), lambda a, x: a + x.cast("double")), 3).alias("total"))
+    return e.select("vec_id", F.size(v).alias("n"), (F.round(F.aggregate(v, F.lit(0.0), lambda a, x: a + x.cast("double")), 3) + 0.0).alias("total"))
 
 
 @query("SELECT n_nationkey AS k, CASE n_nationkey % 5 WHEN 0 THEN n_name WHEN 1 THEN n_name WHEN 2 THEN 'say ' || chr(34) || n_name || chr(34) || chr(10) WHEN 3 THEN n_name ELSE '' END AS fixed FROM nation")
@@ -481,10 +481,10 @@ def _tools(spark, sf_dir):
     return tool_arguments(calls, [Field("kind", rules=Rules(not_null=True)), Field("owner", "long", rules=Rules(low=10))])
 
 
-@query("SELECT vec_id, label, round(list_sum(list_transform(embedding, lambda x: x::DOUBLE)), 3) AS total FROM embeddings")
+@query("SELECT vec_id, label, round(list_sum(list_transform(embedding, lambda x: x::DOUBLE)), 3) + 0.0 AS total FROM embeddings")
 def htb_roundtrip(spark, sf_dir):
     back = packed.unpacked(packed.packed(table(spark, sf_dir, "embeddings")), "vec_id bigint, label int, embedding array<float>")
-    return back.select("vec_id", "label", F.round(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x.cast("double")), 3).alias("total"))
+    return back.select("vec_id", "label", (F.round(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x.cast("double")), 3) + 0.0).alias("total"))
 
 
 @query("SELECT o_orderkey, CAST(o_totalprice AS DECIMAL(18,2)) AS price, o_orderdate::DATE AS day FROM orders")
