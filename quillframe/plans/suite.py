@@ -482,13 +482,13 @@ def _tools(spark, sf_dir):
 
 
 @query("SELECT vec_id, label, round(list_sum(list_transform(embedding, lambda x: x::DOUBLE)), 3) + 0.0 AS total FROM embeddings")
-def htb_roundtrip(spark, sf_dir):
+def packed_roundtrip(spark, sf_dir):
     back = packed.unpacked(packed.packed(table(spark, sf_dir, "embeddings")), "vec_id bigint, label int, embedding array<float>")
     return back.select("vec_id", "label", (F.round(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x.cast("double")), 3) + 0.0).alias("total"))
 
 
 @query("SELECT o_orderkey, CAST(o_totalprice AS DECIMAL(18,2)) AS price, o_orderdate::DATE AS day FROM orders")
-def htb_types(spark, sf_dir):
+def packed_types(spark, sf_dir):
     o = table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_totalprice").cast("decimal(38,18)").alias("price"), F.col("o_orderdate").cast("timestamp_ntz").alias("day"))
     back = packed.unpacked(packed.packed(o), "o_orderkey bigint, price decimal(38,18), day timestamp_ntz")
     return back.select("o_orderkey", F.col("price").cast("decimal(18,2)").alias("price"), F.col("day").cast("date").alias("day"))
