@@ -20,10 +20,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import _text as t
-from .learn import ROWS_PER_CLASS, TEXT_BYTES, labelled_sample, remainder, sigmoid
+from .learn import ROWS_PER_CLASS, labelled_sample, remainder, sigmoid
 
-STATISTICS = ("n_words", "word_bytes", "upper", "digit", "mark", "bang", "pipe", "symbol", "line_words", "distinct", "top_word", "repeat_next", "repeat_line", "non_ascii")
+STATISTICS = ("n_words", "word_bytes", "upper", "digit", "mark", "bang", "pipe", "symbol", "line_words", "fresh", "top_word", "repeat_next", "repeat_line", "non_ascii")
 TREES, DEPTH, BINS, SHRINK, LASSO = 40, 3, 32, 0.3, 2e-3
+#: Texts of the sample may be long ones, as statistics of short texts do not tell of them.
+TEXT_BYTES, BLOCK_WORDS = 1 << 17, 64
 
 
 def statistics(column: pa.Array) -> np.ndarray:
@@ -40,7 +42,12 @@ def statistics(column: pa.Array) -> np.ndarray:
         by = np.lexsort((words, row))
         new = np.concatenate([[True], (words[by][1:] != words[by][:-1]) | (row[by][1:] != row[by][:-1])])[: len(words)]
         first = np.flatnonzero(new)
-        distinct, top = np.bincount(row[by][first], minlength=j - i), np.zeros(j - i)
+        top = np.zeros(j - i)
+        # distinct words by blocks: over a whole text their share would fall with its length
+        block = (np.arange(len(words)) - at[row]) // BLOCK_WORDS
+        parts = t.mix(words + t.mix((row << 32 | block).astype(t.U64)))
+        once = np.unique(parts, return_index=True)[1]
+        fresh = np.bincount(row[once], minlength=j - i)
         np.maximum.at(top, row[by][first], np.diff(np.concatenate([first, [len(words)]])))
         again = np.concatenate([words[1:] == words[:-1], [False]])[: len(words)] & np.concatenate([row[1:] == row[:-1], [False]])[: len(words)]
         l_starts, l_ends, l_at = t.word_ranges(part, own, np.arange(256) != 10)
@@ -50,7 +57,7 @@ def statistics(column: pa.Array) -> np.ndarray:
         columns = (
             n, count(ws[part]) / some, count((part >= 65) & (part <= 90)) / letters, count((part >= 48) & (part <= 57)) / bytes_,
             count(np.isin(part, np.frombuffer(b".,;:?", np.uint8))) / some, count(part == 33) / some, count(part == 124) / some, count(np.isin(part, np.frombuffer(b"#$%&*@<>{}[]=\\^~_", np.uint8))) / some,
-            n / l_some, distinct / some, top / some, np.bincount(row, again, j - i) / some,
+            n / l_some, fresh / some, top / some, np.bincount(row, again, j - i) / some,
             1 - np.bincount(l_pairs[:, 0].astype(np.int64), minlength=j - i) / l_some * (np.diff(l_at) > 0) - (np.diff(l_at) == 0), count(part >= 128) / bytes_,
         )
         out[i:j] = np.stack(columns, 1)
