@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as s
 
+PLAIN = ("tinyint", "smallint", "int", "bigint", "decimal", "float", "double", "boolean")
 PROTECTIONS = ("none", "escape_quote", "escape_tab", "sanitize", "reject")
 
 
@@ -64,8 +65,16 @@ def text_of(df: DataFrame, name: str, formats: Formats = Formats()) -> Column:
 
 
 def csv_line(df: DataFrame, columns: Sequence[str] | None = None, delimiter: str = ",", formats: Formats = Formats(), **options) -> Column:
-    cells = [csv_cell(text_of(df, c, formats), delimiter, **options) for c in columns or df.columns]
-    return F.concat_ws(delimiter, *cells)
+    kinds = dict(df.dtypes)
+
+    def cell(c: str) -> Column:
+        # digits, signs and points need neither quotes nor protection
+        if kinds[c].split("(")[0] in PLAIN and c not in dict(formats.columns) and options.get("style") != "always" and delimiter in ",;|\t" and not options.get("extra"):
+            plain = F.coalesce(F.col(c).cast("string"), F.lit(options.get("null", "")))
+            return F.when(plain.startswith("-I"), csv_cell(plain, delimiter, **options)).otherwise(plain) if kinds[c] in ("float", "double") else plain
+        return csv_cell(text_of(df, c, formats), delimiter, **options)
+
+    return F.concat_ws(delimiter, *[cell(c) for c in columns or df.columns])
 
 
 def header_line(columns: Sequence[str], delimiter: str = ",", quote: str = '"') -> str:

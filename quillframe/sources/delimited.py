@@ -47,8 +47,12 @@ def cells_of(line: Column, d: Dialect = Dialect()) -> Column:
     if d.quote is None:
         return F.split(line, de, -1)
     q, e = re.escape(d.quote), re.escape(d.escape or "")
-    body = rf"(?:{e}.|{q}(?:{e}.|[^{q}{e}])*{q}|[^{de}{q}{e}])*" if d.escape else rf"(?:{q}[^{q}]*+{q}|[^{de}{q}])*+"
-    return F.regexp_extract_all(F.concat(F.lit(d.delimiter), line), F.lit(f"{de}({body})"), F.lit(1))
+    body = rf"(?:{e}.|{q}(?:{e}.|[^{q}{e}]++)*+{q}|[^{de}{q}{e}]++)*+" if d.escape else rf"(?:{q}[^{q}]*+{q}|[^{de}{q}]++)*+"
+    marked = F.contains(line, F.lit(d.quote))
+    if d.escape:
+        marked |= F.contains(line, F.lit(d.escape))
+    full = F.regexp_extract_all(F.concat(F.lit(d.delimiter), line), F.lit(f"{de}({body})"), F.lit(1))
+    return F.when(marked, full).otherwise(F.split(line, de, -1))  # most lines have no quote
 
 
 def is_data(line: Column, d: Dialect = Dialect()) -> Column:
@@ -62,7 +66,8 @@ def split_lines(lines: DataFrame, d: Dialect = Dialect(), value: str = "value",
     raw = cells_of(F.col(value), d)
     checks = F.when(F.size("raw") > d.max_columns, F.raise_error(F.lit(f"more than {d.max_columns} columns")))
     if d.quote is not None and d.escape is None:
-        checks = checks.when(F.length(F.regexp_replace(F.col(value), f"[^{re.escape(d.quote)}]", "")) % 2 == 1, F.raise_error(F.lit("a quote is not closed")))
+        odd = F.length(F.regexp_replace(F.col(value), f"[^{re.escape(d.quote)}]++", "")) % 2 == 1
+        checks = checks.when(F.contains(F.col(value), F.lit(d.quote)) & odd, F.raise_error(F.lit("a quote is not closed")))
     if d.max_row_size is not None:
         checks = checks.when(F.length(value) > d.max_row_size, F.raise_error(F.lit(f"a row is longer than {d.max_row_size}")))
     if d.max_field_size is not None:
@@ -71,7 +76,7 @@ def split_lines(lines: DataFrame, d: Dialect = Dialect(), value: str = "value",
     # an id makes the column opaque: else filters on what is made of the cells go below it and split each line again for every mention
     checked = F.when(checks.otherwise(F.lit(None).cast("string")).isNull() & (F.monotonically_increasing_id() >= 0), F.col("raw"))
     out = out.select(F.col(order).cast("bigint").alias("row_number"), *[c for c in keep], checked.alias("raw"))
-    cells = F.transform("raw", lambda x: s.unquote(x, d.quote)) if d.quote else F.col("raw")
+    cells = F.when(F.exists("raw", lambda x: x.startswith(d.quote)), F.transform("raw", lambda x: s.unquote(x, d.quote))).otherwise(F.col("raw")) if d.quote else F.col("raw")
     return out.withColumn("cells", F.when(F.monotonically_increasing_id() >= 0, cells))
 
 
