@@ -248,10 +248,20 @@ def json_to_csv(lines: DataFrame, value: str = "value", order: str = "row_number
 # Reports
 
 
-def merge_duplicates(df: DataFrame, column: str, order: str) -> DataFrame:
-    """Runs of equal neighbours: (value, first, last) of those of two rows or more."""
-    w = Window.orderBy(order)
-    change = (F.lag(column).over(w).isNull() & F.col(column).isNotNull()) | ~F.lag(column).over(w).eqNullSafe(F.col(column))
+def merge_duplicates(df: DataFrame, column: str, order: str, parts: int = 64) -> DataFrame:
+    """Runs of equal neighbours by ``order`` (unique): (value, first_row, last_row) of those of two rows or more.
+
+    Ranges are cut into runs apart; a range's first and last run, which may go on in the next range, are then joined (at most two a range).
+    """
+    w = Window.partitionBy("part").orderBy("at")
+    ranged = df.select(F.col(order).alias("at"), F.col(column).alias("value")).repartitionByRange(parts, "at").withColumn("part", F.spark_partition_id())
+    change = (F.row_number().over(w) == 1) | ~F.lag("value").over(w).eqNullSafe(F.col("value"))
     run = F.sum(F.when(change, 1).otherwise(0)).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    rows = df.select(F.col(order).alias("at"), F.col(column).alias("value"), run.alias("run"))
-    return rows.groupBy("run", "value").agg(F.min("at").alias("first_row"), F.max("at").alias("last_row"), F.count("*").alias("n")).where("n > 1").select("value", "first_row", "last_row")
+    runs = ranged.withColumn("run", run).groupBy("part", "run").agg(F.first("value").alias("value"), F.min("at").alias("first_row"), F.max("at").alias("last_row"), F.count("*").alias("n"))
+    border = (F.col("run") == 1) | (F.col("run") == F.max("run").over(Window.partitionBy("part")))
+    runs = runs.withColumn("lane", F.when(border, -1).otherwise(F.col("part"))).where("lane = -1 or n > 1")
+    w = Window.partitionBy("lane").orderBy("part", "run")
+    goes_on = (F.lag("part").over(w) < F.col("part")) & F.lag("value").over(w).eqNullSafe(F.col("value"))
+    whole = F.sum(F.when(goes_on, 0).otherwise(1)).over(w.rowsBetween(Window.unboundedPreceding, 0))
+    joined = runs.withColumn("whole", whole).groupBy("lane", "whole").agg(F.first("value").alias("value"), F.min("first_row").alias("first_row"), F.max("last_row").alias("last_row"), F.sum("n").alias("n"))
+    return joined.where("n > 1").select("value", "first_row", "last_row")

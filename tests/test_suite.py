@@ -32,3 +32,23 @@ def test_expression_queries_run_no_python(spark):
     for name in ("csv_roundtrip_orders", "validate_errors_by_rule", "multi_schema_route", "jsonl_paths", "fixed_width_read", "injection_escape"):
         plan = QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
         assert "Python" not in plan and "Arrow" not in plan, name
+
+
+def test_merge_duplicates_over_whole_tables(spark):
+    from itertools import groupby
+
+    from quillframe.operators import render
+
+    def brute(pairs):
+        runs = [(v, [k for k, _ in g]) for v, g in groupby(sorted(pairs), key=lambda x: x[1])]
+        return sorted(((v, g[0], g[-1]) for v, g in runs if len(g) > 1), key=str)
+
+    pairs = [tuple(r) for r in spark.read.parquet("/root/testdata/sf0.01/orders.parquet").select("o_orderkey", "o_orderstatus").collect()]
+    got = [tuple(r) for r in QUERIES["merge_duplicates"](spark, "/root/testdata/sf0.01").collect()]
+    assert sorted(got, key=str) == brute(pairs) and max(r[2] for r in got) > 2000
+    # runs over several ranges, of nulls too
+    pairs = [(k, v) for k, v in enumerate([None] * 50 + ["a"] * 120 + ["b", None, None, "b"] * 5 + ["a"])]
+    df = spark.createDataFrame(pairs, "at bigint, v string")
+    for parts in (1, 3, 64):
+        assert sorted((tuple(r) for r in render.merge_duplicates(df, "v", "at", parts).collect()), key=str) == brute(pairs)
+    assert render.merge_duplicates(df.limit(0), "v", "at").collect() == []
