@@ -1,9 +1,10 @@
 """Mixing sources to target weights by iterative proportional fitting, with DataFrame functions alone.
 
 Tokens are summed by cell (source, language, topic). Targets are the marginals' shares to a power below one, which lifts the small;
-each round scales the cells to the targets of one marginal after the other. A document's probability is its cell's factor
-over the largest factor, so that the expected tokens of every cell stand in the fitted proportions, and a hash of its id
-decides. The table of cells has a row for each combination that occurs; it is fitted in one task, without a shuffle, and joined
+each round scales the cells to the targets of one marginal after the other. ``sample`` scales the cells' factors so that a stated
+share of all tokens is kept: cells whose probability would pass 1 are kept whole and the rest is scaled anew, so that a tiny
+cell does not set the rate of the others. Without such a share (``probabilities``, as its SQL has it) a document's probability is
+its cell's factor over the largest factor. A hash of its id decides. The table of cells has a row for each combination that occurs; it is fitted in one task, without a shuffle, and joined
 back by a plain join, which Spark broadcasts only where it finds the table small and splits where a source is large.
 
 Defined results: null source or language counts as an empty name; a null id as an empty one; documents of cells without tokens
@@ -20,6 +21,8 @@ from .shared import written
 #: Powers of the marginals' shares that make the targets; 1 keeps a marginal as it is.
 POWERS = {"source": 0.8, "lang": 0.9, "topic": 0.95}
 ROUNDS, SALT = 10, ":mix"
+#: The share of all tokens that a sample is expected to keep.
+KEEP = 0.75
 #: A topic is the first whose mark the text holds.
 TOPICS = (("table", "|"), ("web", "http"), ("contact", "@"), ("markup", "###"))
 
@@ -40,8 +43,8 @@ def chance(doc_id: Column) -> Column:
     return F.conv(F.substring(F.md5(F.concat(F.coalesce(doc_id.cast("string"), F.lit("")), F.lit(SALT)).cast("binary")), 1, 8), 16, 10).cast("double") / float(1 << 32)
 
 
-def fitted(cells: DataFrame, powers: dict[str, float] = POWERS, rounds: int = ROUNDS) -> DataFrame:
-    """cells (the marginals' columns and mass, over 0) with probability."""
+def fitted(cells: DataFrame, powers: dict[str, float] = POWERS, rounds: int = ROUNDS, keep: float | None = None) -> DataFrame:
+    """cells (the marginals' columns and mass, over 0) with probability: to keep that share of the mass, or over the largest factor."""
     out = cells.coalesce(1).withColumn("weight", F.col("mass"))
     for name, power in powers.items():
         marginal = F.sum("mass").over(Window.partitionBy(name))
@@ -51,8 +54,17 @@ def fitted(cells: DataFrame, powers: dict[str, float] = POWERS, rounds: int = RO
     for _ in range(rounds):
         for name in powers:
             out = out.withColumn("weight", F.col("weight") * F.col(f"target_{name}") / F.sum("weight").over(Window.partitionBy(name)))
-    factor = F.col("weight") / F.col("mass")
-    return out.withColumn("probability", F.least(F.lit(1.0), factor / F.max(factor).over(Window.partitionBy()))).select(*powers, "probability")
+    out = out.withColumn("factor", F.col("weight") / F.col("mass"))
+    if keep is None:
+        scaled = F.col("factor") / F.max("factor").over(Window.partitionBy())
+    else:
+        # with the cells of the greatest factors kept whole, the rest's scale; kept whole one too many or too few, it is less than the right one
+        falling = Window.orderBy(F.desc("factor"), *powers)
+        whole = F.coalesce(F.sum("mass").over(falling.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
+        rest = F.sum("weight").over(falling.rowsBetween(0, Window.unboundedFollowing))
+        out = out.withColumn("scale", (F.lit(keep) * F.sum("mass").over(Window.partitionBy()) - whole) / rest)
+        scaled = F.col("factor") * F.max("scale").over(Window.partitionBy())
+    return out.withColumn("probability", F.least(F.lit(1.0), scaled)).select(*powers, "probability")
 
 
 def _marked(docs: DataFrame) -> DataFrame:
@@ -67,11 +79,11 @@ def probabilities(docs: DataFrame, powers: dict[str, float] = POWERS, rounds: in
     return out.select("doc_id", "tokens", F.round("probability", 6).alias("probability"), (chance(F.col("doc_id")) < F.col("probability")).alias("selected"))
 
 
-def sample(docs: DataFrame, powers: dict[str, float] = POWERS, rounds: int = ROUNDS) -> DataFrame:
-    """The chosen documents, all columns; the cell's columns are made anew so that none of docs is in the way."""
+def sample(docs: DataFrame, powers: dict[str, float] = POWERS, rounds: int = ROUNDS, keep: float = KEEP) -> DataFrame:
+    """The chosen documents, all columns, with that share of the tokens to be expected; the cell's columns are made anew so that none of docs is in the way."""
     rows = written(_marked(docs).drop("doc_id"))
     cells = written(rows.groupBy("source", "lang", "topic").agg(F.sum("tokens").cast("double").alias("mass")).where("mass > 0"))
-    cells = written(fitted(cells, powers, rounds)).select(F.struct("source", "lang", "topic").alias("__cell"), F.col("probability").alias("__probability"))
+    cells = written(fitted(cells, powers, rounds, keep)).select(F.struct("source", "lang", "topic").alias("__cell"), F.col("probability").alias("__probability"))
     cell = F.struct(F.coalesce("source", F.lit("")).alias("source"), F.coalesce("lang", F.lit("")).alias("lang"), topic(F.col("text")).alias("topic"))
     joined = docs.withColumn("__cell", cell).join(cells, "__cell", "left")
     return joined.where(chance(F.col("doc_id")) < F.coalesce("__probability", F.lit(1.0))).select(*docs.columns)

@@ -191,6 +191,26 @@ def test_mixing(spark):
     assert mixing.sample(docs.limit(0)).collect() == [] and mixing.probabilities(docs.limit(0)).collect() == []
 
 
+def test_mixing_keeps_a_stated_share(spark):
+    F = mixing.F
+    cells = [(f"s{i}", f"l{j}", "p", 1000.0 * (i + 1) * (3 * j + 1)) for i in range(5) for j in range(3)]
+    powers = {"source": 0.8, "lang": 0.9}
+    rates = []
+    for table in (cells, [*cells, ("tiny", "l0", "p", 1.0)]):
+        df = spark.createDataFrame(table, "source string, lang string, topic string, mass double")
+        for keep in (0.2, 0.75, 1.0):
+            got = {(r.source, r.lang): r.probability for r in mixing.fitted(df, powers, 10, keep).collect()}
+            assert abs(sum(got[s, k] * m for s, k, _, m in table) / sum(x[3] for x in table) - keep) < 1e-9 and max(got.values()) <= 1
+            rates.append([got[s, k] for s, k, _, _ in cells])
+    assert all(abs(x - y) < 0.01 for a, b in zip(rates[:3], rates[3:], strict=True) for x, y in zip(a, b, strict=True))
+    # the sample itself, with a document of a new source and language
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "source", "lang")
+    more = docs.unionByName(spark.createDataFrame([(-1, "one two three", "new", "xx")], docs.schema))
+    total = docs.agg(F.sum(mixing.tokens(F.col("text")))).first()[0]
+    kept = [{r.doc_id: r.n for r in mixing.sample(df).select("doc_id", mixing.tokens(F.col("text")).alias("n")).collect()} for df in (docs, more)]
+    assert all(abs(sum(k.values()) / total - mixing.KEEP) < 0.05 for k in kept) and len(kept[0].keys() ^ kept[1].keys()) < 0.02 * len(kept[0])
+
+
 def held_out(spark, name, label, n, r):
     got = {x.doc_id: x for x in QUERIES[name](spark, "/root/testdata/sf0.01").collect()}
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
