@@ -29,14 +29,19 @@ def shared_dir(spark: SparkSession) -> str:
 _WRITTEN: list[str] = []
 
 
+def folder(spark: SparkSession) -> str:
+    """A new path in the shared folder; ``release`` drops what is there, at the latest when the driver ends."""
+    if not _WRITTEN:
+        atexit.register(release, spark)
+    _WRITTEN.append(f"{shared_dir(spark)}/quillframe-{uuid.uuid4().hex}")
+    return _WRITTEN[-1]
+
+
 def written(df: DataFrame) -> DataFrame:
-    """The same rows, written to the shared folder and read again; ``release`` drops the files, at the latest when the driver ends."""
+    """The same rows, written to the shared folder and read again."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/quillframe-{uuid.uuid4().hex}"
+    path = folder(spark)
     df.write.parquet(path)
-    if not _WRITTEN:
-        atexit.register(release, spark)
-    _WRITTEN.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

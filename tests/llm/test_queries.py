@@ -166,6 +166,64 @@ def test_sharding(spark):
     assert sharding.assign(hard(spark).limit(0)).collect() == []
 
 
+def test_reshard(spark, tmp_path):
+    import os
+
+    schema = "doc_id bigint, text string, shard string, slot int"
+    data = [(k, s, "a", i) for i, (k, s) in enumerate([*HARD, (None, "x y"), (None, "x y"), (3, "same"), (3, "same"), *((100 + i, f"row {i}") for i in range(400))])]
+    df = spark.createDataFrame(data, schema)
+    path = str(tmp_path / "shards")
+
+    def state():
+        return sorted((tuple(r) for r in sharding.layout(spark, path, df.schema).collect()), key=str)
+
+    def sound(n):
+        got = state()
+        assert sorted((r[:4] for r in got), key=str) == sorted(data, key=str)  # no row lost or doubled
+        for k in {r[5] for r in got}:
+            assert 0 <= k < n and sorted(r[4] for r in got if r[5] == k) == list(range(sum(r[5] == k for r in got)))
+        return got
+
+    sharding.lay_out(df, path, 3)
+    sharding.reshard(spark, path, df.schema, 5)
+    five = sound(5)
+    # a fifth shard grows, the others' folders stay as they are
+    extra = [(1000 + i, "y" * 40, "b", i) for i in range(30)]
+    spark.createDataFrame(extra, schema).withColumn(sharding.SLOT, sharding.F.lit(None).cast("bigint")).withColumn(sharding.SHARD, sharding.F.lit(4)).write.mode("append").partitionBy(sharding.SHARD).parquet(path)
+    data += extra
+    assert 4 in sharding.reshard(spark, path, df.schema, 5)
+    sound(5)
+    assert not [x for x in os.listdir(path) if x.startswith("_staged")]
+    # rows in no shard yet
+    fresh = [(2000 + i, "z" * 20, "c", i) for i in range(20)]
+    spark.createDataFrame(fresh, schema).withColumn(sharding.SLOT, sharding.F.lit(None).cast("bigint")).withColumn(sharding.SHARD, sharding.F.lit(None).cast("int")).write.mode("append").partitionBy(sharding.SHARD).parquet(path)
+    data += fresh
+    sharding.reshard(spark, path, df.schema, 5)
+    sound(5)
+    sharding.reshard(spark, path, df.schema, 2)
+    assert {r[5] for r in sound(2)} == {0, 1} and len(five) == len(data) - 50
+
+
+def test_only_changed_shards_are_rewritten(spark, tmp_path):
+    import os
+
+    path, F = str(tmp_path / "shards"), sharding.F
+    df = spark.range(4000).select(F.col("id").alias("doc_id"), F.lit("t" * 92).alias("text"))
+    at = F.when((F.col("doc_id") % 4 == 1) & (F.col("doc_id") < 800), 0).otherwise(F.col("doc_id") % 4).cast("int")
+    df.withColumn(sharding.SLOT, F.floor(F.col("doc_id") / 4)).withColumn(sharding.SHARD, at).write.partitionBy(sharding.SHARD).parquet(path)
+
+    def files():
+        return {d: sorted(os.listdir(f"{path}/{d}")) for d in os.listdir(path) if "=" in d}
+
+    before = files()
+    assert sharding.reshard(spark, path, df.schema, 4) == [0, 1]  # what 0 has too much goes to 1
+    after = files()
+    assert [d for d in sorted(after) if after[d] != before[d]] == ["__shard=0", "__shard=1"]
+    got = sharding.layout(spark, path, df.schema)
+    assert {r[0]: r[1] for r in got.groupBy(sharding.SHARD).count().collect()} == dict.fromkeys(range(4), 1000) and got.select("doc_id").distinct().count() == 4000
+    assert sharding.reshard(spark, path, df.schema, 4) == [] and files() == after
+
+
 def test_flow():
     rng = np.random.default_rng(0)
     for _ in range(20):
