@@ -14,6 +14,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -
     Large star: each node hands its greater neighbours to its least neighbour; small star: each node hands its lesser
     neighbours to the least of them. When no edge changes, every edge points to the component's least node. A
     node with very many neighbours is only ever aggregated and joined, so that Spark may combine and split it.
+    Edges that still change after so many rounds raise an error, as their components are not whole.
     """
     now = written(edges.select(F.least(a, b).alias("v"), F.greatest(a, b).alias("u")).where("v < u").distinct())
     state = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
@@ -30,5 +31,8 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -
         before, state = state, now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if before == state:
             break
+    else:
+        if state[0]:
+            raise RuntimeError(f"components still change after {rounds} rounds")
     nodes = now.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("component"))
     return nodes.unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())

@@ -116,6 +116,13 @@ def test_components(spark):
     assert got == {**dict.fromkeys(range(1, 41), 1), 100: 100, 101: 100, 102: 100}
 
 
+def test_components_that_are_not_whole_raise(spark):
+    edges = spark.createDataFrame([(i, i + 1) for i in range(1, 40)], "a bigint, b bigint")
+    with pytest.raises(RuntimeError, match="after 1 rounds"):
+        components(edges, rounds=1)
+    assert components(edges.limit(0), rounds=1).collect() == []
+
+
 def test_embeddings(spark):
     rng = np.random.default_rng(0)
     centres = rng.standard_normal((6, 8))
