@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from quillframe.llm import decontaminate, jaccard, mixing, sharding
 from quillframe.llm import toxicity as toxic
-from quillframe.llm.shared import release, shared_dir, tables_written
+from quillframe.llm.shared import release, shared_dir, tables_written, written
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -22,9 +22,17 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays, the one with the least doc_id; so does a document in no group."""
-    found = jaccard.near_duplicates(docs).where("doc_id <> component_id").select(F.col("doc_id")).distinct()
-    return docs.join(found, "doc_id", "left_anti").select(*docs.columns)
+    """One row of each group of near copies stays, the one with the least doc_id; so does a row in no group.
+
+    Rows are told apart by a number of their own, not by doc_id: rows with a null id are compared like others and stay only if
+    none of their group has an id (then one does); of repeated rows one stays; of two texts under one id only that goes which
+    is a near copy of another row that stays. Texts without any word are copies of nothing and all stay.
+    """
+    rows = written(docs.withColumn("__row", F.monotonically_increasing_id()))
+    groups = jaccard.near_duplicates(rows, "__row").select(F.col("doc_id").alias("__row"), "component_id")
+    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "__text", "__row"))
+    kept = rows.select("__row", "doc_id", F.xxhash64("text").alias("__text")).join(groups, "__row").groupBy("component_id").agg(first.alias("first")).select("first.__row")
+    return rows.join(kept, "__row", "left_semi").select(*docs.columns)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

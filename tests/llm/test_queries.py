@@ -333,3 +333,18 @@ def test_pipeline(spark):
     assert all((r.text == docs[d]) != found[d][5] and (not found[d][5] or r.n_chars == len(r.text)) for d, r in cleaned.items())
     for name in ("toxicity", "near_duplicates", "decontamination", "mixing"):
         assert stage[name](spark, table, SF).columns == table.columns
+
+
+def test_pipeline_near_duplicates_by_row(spark):
+    text, other, third = (" ".join(f"{k}{i}" for i in range(60)) for k in "abc")
+    data = [
+        (None, text, "n"), (None, text + " x", "n"), (None, text, "n"),  # null ids only: one stays
+        (1, other, "r"), (1, other, "r"), (None, other, "r"),  # repeated rows and a null id: the one with an id, once
+        (2, third, "t"), (3, third + " x", "t"), (3, "a clean text under the same id as a copy", "t"),  # only the copy of 2 goes
+        (4, "", "e"), (None, None, "e"),
+    ]
+    df = spark.createDataFrame(data, "doc_id bigint, text string, source string")
+    got = dict(corpus_pipeline.STAGES)["near_duplicates"](spark, df, SF)
+    kept = sorted(((r.source, r.doc_id, r.text) for r in got.collect()), key=str)
+    assert got.columns == df.columns and [k for k in kept if k[0] in "et"] == [("e", 4, ""), ("e", None, None), ("t", 2, third), ("t", 3, data[8][1])]
+    assert [k for k in kept if k[0] == "r"] == [("r", 1, other)] and [k[1] for k in kept if k[0] == "n"] == [None]
