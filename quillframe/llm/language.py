@@ -4,9 +4,9 @@ character n-grams, from the longest length of which any is known down to single
 Words are runs of letters, lower-cased. A text's languages get the sum over its words, turned into probabilities; the best
 one is returned, with its probability (ties: the first in alphabetical order).
 
-Fitted on a bounded sample of rows with a language (``per_class`` rows each, texts up to ``text_bytes``) and bounded tables
-(``most_words`` words, ``most_grams`` n-grams of each length), applied to all whole texts. Defined results: ``und`` and score 0
-where the text is null or has no letter, or no language was learned; rows that repeat are treated alike; other columns are ignored.
+Fitted on a bounded sample of rows with a language (``per_class`` rows and ``class_bytes`` bytes of each), whose words and n-grams all
+are in the tables; applied to all whole texts. Defined results: ``und`` and score 0 where the text is null or has no letter, or no
+language was learned; rows that repeat are treated alike; a text's score does not depend on its neighbours; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -20,14 +20,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import _text as t
-from .learn import TEXT_BYTES, labelled_sample, remainder, word_grams
+from .learn import labelled_sample, remainder, word_grams
 from .shared import shipped
 
 SIZES = (1, 2, 3, 4, 5)
-ROWS_PER_CLASS = 500
-#: Bytes of text that a step of the fit works on.
-FIT_BYTES = 1 << 18
-MOST_WORDS, MOST_GRAMS = 200_000, 50_000
+#: Bounds of the sample, and bytes of text that a step of the fit works on.
+ROWS_PER_CLASS, CLASS_BYTES, FIT_BYTES = 500, 1 << 20, 1 << 18
 UNDETERMINED = "und"
 
 
@@ -55,7 +53,7 @@ class Model:
         self.languages, self.tables, self.packed = languages, tables, letter
 
     @classmethod
-    def fit(cls, texts: list[str], languages: list[str], most_words: int = MOST_WORDS, most_grams: int = MOST_GRAMS) -> Model:
+    def fit(cls, texts: list[str], languages: list[str]) -> Model:
         names, label = np.unique(np.array(languages, dtype=object).astype(str), return_inverse=True) if languages else (np.array([], str), np.zeros(0, np.int64))
         packed, hasher = letters(), t.Hasher()
         letter = np.unpackbits(packed).astype(bool)
@@ -78,10 +76,7 @@ class Model:
             done += len(at) - 1
         tables = {}
         for n, (keys, counts) in counted.items():
-            total, most = counts.sum(1), most_grams if n else most_words
-            keep = np.sort(np.argsort(-total, kind="stable")[:most])
-            keep = keep[total[keep] >= 2]
-            tables[n] = (keys[keep], np.log((counts[keep] + 0.1) / (counts.sum(0) + 0.1 * len(keys))).astype(np.float32))
+            tables[n] = (keys, np.log((counts + 0.1) / (counts.sum(0) + 0.1 * len(keys))).astype(np.float32))
         return cls(names.tolist(), tables, packed)
 
     def _look_up(self, n: int, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -119,7 +114,8 @@ class Model:
                 continue
             _, first, which = np.unique(hasher.spans(values, starts, ends), return_index=True, return_inverse=True)
             word = self.word_scores(values, starts[first], ends[first], hasher).astype(np.float64)
-            total = np.stack([np.diff(np.concatenate([[0], np.cumsum(word[which, k])])[at]) for k in range(word.shape[1])], 1)
+            row = t.rows_of(at)
+            total = np.stack([np.bincount(row, word[which, k], n) for k in range(word.shape[1])], 1)
             best = total.argmax(1)
             probability = 1 / np.exp(total - total.max(1, keepdims=True)).sum(1)
             some = np.diff(at) > 0
@@ -128,8 +124,8 @@ class Model:
         return names, np.concatenate([*scores, np.zeros(0)])
 
 
-def train(docs: DataFrame, per_class: int = ROWS_PER_CLASS, text_bytes: int = TEXT_BYTES) -> Model:
-    rows = labelled_sample(docs, None, "lang", remainder("doc_id", 5) == 0, per_class, text_bytes)
+def train(docs: DataFrame, per_class: int = ROWS_PER_CLASS, class_bytes: int = CLASS_BYTES) -> Model:
+    rows = labelled_sample(docs, None, "lang", remainder("doc_id", 5) == 0, per_class, class_bytes)
     return Model.fit([r[1] for r in rows], [r[2] for r in rows])
 
 

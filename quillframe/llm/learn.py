@@ -3,14 +3,14 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import _text as t
 from .fm import interval_rows
 
-#: Bounds of a sample: rows of each class, and bytes of a text in it.
-ROWS_PER_CLASS, TEXT_BYTES = 1000, 1 << 14
+#: Bounds of a sample: rows of each class, and bytes of all texts of a class.
+ROWS_PER_CLASS, CLASS_BYTES = 1000, 3 << 20
 
 
 def remainder(doc_id: str | Column, n: int) -> Column:
@@ -19,21 +19,29 @@ def remainder(doc_id: str | Column, n: int) -> Column:
     return F.crc32(F.coalesce(c.cast("string"), F.lit("")).cast("binary")) % n
 
 
-def _drawn(rows: DataFrame, label: str, per_class: int, seed: int) -> DataFrame:
-    """About per_class rows of each class, by a hash of doc_id: the same at every run."""
+def _drawn(rows: DataFrame, label: str, per_class: int, seed: int, *by: str) -> DataFrame:
+    """About per_class rows of each class, by a hash of the columns named (__at): the same at every run."""
     counts = {r[0]: r[1] for r in rows.groupBy(label).count().collect()}
     share = F.coalesce(*[F.when(F.col(label) == F.lit(k), F.lit(min(1.0, per_class / n))) for k, n in sorted(counts.items())]) if counts else F.lit(0.0)
-    return rows.where(F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1 << 20)) / float(1 << 20) < share).limit(2 * per_class * max(1, len(counts)))
+    at = F.pmod(F.xxhash64(*by, F.lit(seed)), F.lit(1 << 40))
+    return rows.withColumn("__at", at).where(F.col("__at") / float(1 << 40) < share).limit(2 * per_class * max(1, len(counts)))
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame | None, label: str, skip: Column, per_class: int = ROWS_PER_CLASS, text_bytes: int = TEXT_BYTES, seed: int = 3) -> list[tuple]:
-    """(doc_id, text, label) of at most 2 * per_class rows a class on the driver, in a fixed order; rows where skip holds never."""
-    texts = docs.select("doc_id", "text", *([label] if labels is None else [])).where(F.col("text").isNotNull() & (F.octet_length("text") <= text_bytes) & ~skip)
+def labelled_sample(docs: DataFrame, labels: DataFrame | None, label: str, skip: Column, per_class: int = ROWS_PER_CLASS, class_bytes: int = CLASS_BYTES, seed: int = 3) -> list[tuple]:
+    """(doc_id, text, label) of a bounded sample on the driver, in a fixed order; rows where skip holds never.
+
+    A class has at most 2 * per_class rows and class_bytes bytes: its rows are taken in the order of a hash as long as their whole texts
+    fit, so that long texts are learned from in their proportion. An id that repeats with a label counts once, with its least text.
+    """
+    texts = docs.select("doc_id", "text", *([label] if labels is None else [])).where(F.col("text").isNotNull() & ~skip)
     if labels is None:
-        rows = _drawn(texts.where(F.col(label).isNotNull()), label, per_class, seed)
+        rows = _drawn(texts.where(F.col(label).isNotNull()), label, per_class, seed, "doc_id", "text").dropDuplicates(["doc_id", "text", label])
     else:
         own = labels.select("doc_id", label).where(F.col(label).isNotNull() & ~skip).dropDuplicates(["doc_id", label])
-        rows = texts.join(F.broadcast(_drawn(own, label, per_class, seed)), "doc_id")  # the draw bounds what is broadcast
+        drawn = F.broadcast(_drawn(own, label, per_class, seed, "doc_id"))  # the draw bounds what is broadcast, and the groups below
+        rows = texts.join(drawn, "doc_id").groupBy("doc_id", label, "__at").agg(F.min("text").alias("text"))
+    before = Window.partitionBy(label).orderBy("__at", "doc_id", "text").rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumn("__upto", F.sum(F.octet_length("text")).over(before)).where(F.col("__upto") <= class_bytes)
     return sorted((r["doc_id"], r["text"], r[label]) for r in rows.select("doc_id", "text", label).toLocalIterator())
 
 

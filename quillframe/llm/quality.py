@@ -4,7 +4,7 @@ Shallow trees are boosted on a bounded sample; the path to each of their nodes b
 statistics; a lasso logistic regression keeps few of the rules. The rules and weights compile to one Spark column
 expression over the statistics, so a fitted model is plain SQL. The statistics of whole texts come from byte counts.
 
-Fitted on a bounded sample (``per_class`` rows of each label, texts up to ``text_bytes``), applied to all rows. Defined results: a null
+Fitted on a bounded sample (``per_class`` rows and ``class_bytes`` bytes of each label), applied to all rows. Defined results: a null
 text has the statistics of an empty one; with one label or none in the sample the score is that label's share (0.5 without rows);
 rows that repeat are scored alike; other columns are ignored.
 """
@@ -24,8 +24,8 @@ from .learn import ROWS_PER_CLASS, labelled_sample, remainder, sigmoid
 
 STATISTICS = ("n_words", "word_bytes", "upper", "digit", "mark", "bang", "pipe", "symbol", "line_words", "fresh", "top_word", "repeat_next", "repeat_line", "non_ascii")
 TREES, DEPTH, BINS, SHRINK, LASSO = 40, 3, 32, 0.3, 2e-3
-#: Texts of the sample may be long ones, as statistics of short texts do not tell of them.
-TEXT_BYTES, BLOCK_WORDS = 1 << 17, 64
+#: The sample has long texts too, as statistics of short texts do not tell of them.
+CLASS_BYTES, BLOCK_WORDS = 8 << 20, 64
 
 
 def statistics(column: pa.Array) -> np.ndarray:
@@ -165,8 +165,8 @@ class Model:
         return F.lit(1.0) / (F.lit(1.0) + F.exp(-total))
 
 
-def train(docs: DataFrame, labels: DataFrame, label: str = "quality", per_class: int = ROWS_PER_CLASS, text_bytes: int = TEXT_BYTES) -> Model:
-    rows = labelled_sample(docs, labels, label, remainder("doc_id", 4) == 2, per_class, text_bytes)
+def train(docs: DataFrame, labels: DataFrame, label: str = "quality", per_class: int = ROWS_PER_CLASS, class_bytes: int = CLASS_BYTES) -> Model:
+    rows = labelled_sample(docs, labels, label, remainder("doc_id", 4) == 2, per_class, class_bytes)
     return Model.fit(statistics(pa.array([r[1] for r in rows], pa.string())), np.array([int(r[2]) for r in rows], np.int64))
 
 

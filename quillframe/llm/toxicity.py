@@ -1,11 +1,15 @@
 """Toxicity: subword-bag embeddings averaged into a linear softmax, trained jointly in numpy.
 
 A word's vector is the mean of those of its hashed subwords (the word itself and its n-grams of 3 to 6 UTF-8 bytes, with edge
-signs), a text's the mean of its words'; a linear layer and softmax follow. As both layers are linear, a trained
-model reduces to one number for each subword cell, which is all that scoring needs.
-
-Fitted on a bounded sample (``per_class`` rows of each label, texts up to ``text_bytes``), scored on all rows. Defined results:
-null, empty and wordless texts get the score of an empty bag; rows that repeat are scored alike; other columns are ignored.
+signs), a text's the mean of its words'; a linear layer and softmax follow. Every subword cell that the sample holds has a vector:
+vectors start at zero and are trained with the layer by accelerated proximal steps, whose penalty on a vector's length (in units of
+the cell's own noise) keeps those at zero that tell nothing. As both layers are linear, a trained model reduces to one number
+for each cell, which is all that scoring needs.
+
+Fitted on a bounded sample (``per_class`` rows and ``class_bytes`` bytes of each label), scored on all rows; the labels weigh alike in
+the fit, so that a score of 0.5 is the even point between them. Defined results: with one label alone in the sample every score is that
+label (0 or 1); without any labelled row nothing is known to be toxic and every score is 0; null, empty and wordless texts get the
+score of an empty bag; rows that repeat are scored alike; other columns are kept.
 """
 
 from __future__ import annotations
@@ -20,20 +24,18 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import _text as t
-from .fm import interval_rows
-from .learn import ROWS_PER_CLASS, TEXT_BYTES, labelled_sample, remainder, sigmoid, word_grams
+from .learn import CLASS_BYTES, ROWS_PER_CLASS, labelled_sample, remainder, sigmoid, word_grams
 from .shared import shipped
 
-CELLS_BITS, SIZES, DIMENSIONS, ROUNDS, RATE = 17, (3, 4, 5, 6), 4, 40, 0.3
-#: Cells that get vectors; the others count as zero in the mean.
-VOCABULARY = 1000
-DECAY = 1e-3
-#: Bytes of text that a step of the fit works on.
-FIT_BYTES = 1 << 17
+CELLS_BITS, SIZES, DIMENSIONS = 19, (3, 4, 5, 6), 4
+#: Rounds over all cells, steps on the cells at work in each, and the penalty in standard errors of a cell's gradient.
+ROUNDS, STEPS, PENALTY, DECAY = 16, 12, 1.8, 1e-3
+#: In the last rounds no cell joins, and the penalty is this share of itself, as it also holds back those that tell something.
+LAST, RELAXED = 4, 0.25
 
 
-def _bags(column: pa.Array, most: int = t.CHUNK_BYTES) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """By step: (cells of the distinct words' subwords, their word, the word of each place, the rows' offsets into the places)."""
+def _bags(column: pa.Array, most: int = t.CHUNK_BYTES) -> Iterator[tuple[np.ndarray, ...]]:
+    """By step: (hashes of the distinct words, cells of their subwords, their word, the word of each place, the rows' offsets into the places)."""
     hasher, (_, alnum, _) = t.Hasher(), t.byte_classes()
     data, offsets = t.text_buffers(pc.utf8_lower(column.cast(pa.large_string())))
     for i, j in t.steps(offsets, most):
@@ -43,7 +45,50 @@ def _bags(column: pa.Array, most: int = t.CHUNK_BYTES) -> Iterator[tuple[np.ndar
         grams = word_grams(hasher.table[part], starts[first], ends[first], hasher, SIZES, 1, 2)
         word = np.concatenate([np.arange(len(words)), *(w for w, _ in grams.values())])
         cells = np.concatenate([words, *(h for _, h in grams.values())])
-        yield (cells & t.U64((1 << CELLS_BITS) - 1)).astype(np.int64), word, which, at
+        yield words, (cells & t.U64((1 << CELLS_BITS) - 1)).astype(np.int64), word, which, at
+
+
+class _Entries:
+    """A sparse matrix as (row, column, value), without an order."""
+
+    def __init__(self, rows: np.ndarray, columns: np.ndarray, values: np.ndarray, shape: tuple[int, int]) -> None:
+        self.rows, self.columns, self.values, self.shape = rows, columns, values, shape
+
+    def times(self, x: np.ndarray) -> np.ndarray:
+        return np.bincount(self.rows, x[self.columns] * self.values, self.shape[0])
+
+    def back(self, y: np.ndarray) -> np.ndarray:
+        return np.bincount(self.columns, y[self.rows] * self.values, self.shape[1])
+
+    def of_columns(self, chosen: np.ndarray) -> _Entries:
+        """The columns where chosen holds, numbered anew."""
+        keep = chosen[self.columns]
+        return _Entries(self.rows[keep], (np.cumsum(chosen) - 1)[self.columns[keep]], self.values[keep], (self.shape[0], int(chosen.sum())))
+
+
+def _matrices(texts: list[str]) -> tuple[np.ndarray, _Entries, _Entries]:
+    """(cells that occur, share of each word in a text, share of each cell in a word): their product is the texts' bags."""
+    words, rows, places, shares, cells, owners, done, base = [], [], [], [], [], [], 0, 0
+    for w, cell, word, which, at in _bags(pa.array(texts, pa.string())):
+        row = t.rows_of(at)
+        words.append(w)
+        rows.append((row + done).astype(np.int32))
+        places.append((which + base).astype(np.int32))
+        shares.append((1 / np.diff(at)[row]).astype(np.float32))
+        cells.append(cell.astype(np.int32))
+        owners.append((word + base).astype(np.int32))
+        done, base = done + len(at) - 1, base + len(w)
+    keys, first, which = np.unique(np.concatenate([*words, np.zeros(0, t.U64)]), return_index=True, return_inverse=True)
+    once = np.zeros(len(which), bool)
+    once[first] = True  # a word's subwords are entered with its first step
+    owner, cell = (np.concatenate([*x, np.zeros(0, np.int32)]) for x in (owners, cells))
+    owner, cell = which[owner[once[owner]]], cell[once[owner]]
+    used, cell = np.unique(cell, return_inverse=True)
+    row, place, share = (np.concatenate([*x, np.zeros(0, np.int32)]) for x in (rows, places, shares))
+    pair, inverse = np.unique(row.astype(np.int64) * max(len(keys), 1) + which[place], return_inverse=True)
+    of_text = _Entries((pair // max(len(keys), 1)).astype(np.int32), (pair % max(len(keys), 1)).astype(np.int32), np.bincount(inverse, share), (done, len(keys)))
+    size = np.bincount(owner, minlength=len(keys))
+    return used, of_text, _Entries(owner.astype(np.int32), cell.astype(np.int32), 1 / size[owner], (len(keys), len(used)))
 
 
 class Model:
@@ -51,83 +96,77 @@ class Model:
         self.weights, self.bias = weights.astype(np.float32), bias
 
     @classmethod
-    def fit(cls, texts: list[str], labels: np.ndarray, prior: float, rounds: int = ROUNDS, decay: float = DECAY) -> Model:
-        """Adam on the cross-entropy over all rows at once; classes weigh alike, and the bias then takes the prior."""
-        cells = 1 << CELLS_BITS
+    def fit(cls, texts: list[str], labels: np.ndarray, rounds: int = ROUNDS, steps: int = STEPS, penalty: float = PENALTY) -> Model:
+        """Cross-entropy with a group penalty: a round finds the cells whose vectors are or want to be off zero, and steps on these."""
+        weights, n = np.zeros(1 << CELLS_BITS, np.float32), len(texts)
         if len(set(labels.tolist())) < 2:
-            return cls(np.zeros(cells), float(np.log((prior + 1e-6) / (1 - prior + 1e-6))))
-        # the vocabulary: cells whose share of texts differs most between the classes, in standard errors
-        n, n1 = np.zeros(cells), np.zeros(cells)
-        for row, column, _ in cls._entries(texts):
-            n += np.bincount(column, minlength=cells)
-            n1 += np.bincount(column, labels[row], cells)
-        total = np.bincount(labels, minlength=2)
-        with np.errstate(divide="ignore", invalid="ignore"):
-            gap = np.abs(n1 / total[1] - (n - n1) / total[0]) / np.sqrt(n / len(texts) * (1 - n / len(texts)) * (1 / total[0] + 1 / total[1]))
-        chosen = np.zeros(cells, bool)
-        chosen[np.argsort(-np.nan_to_num(gap), kind="stable")[:VOCABULARY]] = True
-        kept = [tuple(x[chosen[e[1]]] for x in e) for e in cls._entries(texts)]
-        rows, columns, values = (np.concatenate(x) for x in zip(*kept, strict=True))
-        if not len(rows):
-            return cls(np.zeros(cells), float(np.log((prior + 1e-6) / (1 - prior + 1e-6))))
-        used, columns = np.unique(columns, return_inverse=True)
-        by = np.argsort(columns, kind="stable")
-        row_edge, column_edge = np.searchsorted(rows, np.arange(len(texts))), np.searchsorted(columns[by], np.arange(len(used)))
-        present = np.bincount(rows, minlength=len(texts)) > 0
-        back_rows, back_values = rows[by], values[by][:, None]
+            return cls(weights, np.inf if n and labels[0] else -np.inf)
+        used, of_text, of_word = _matrices(texts)
+        # a cell's noise: the spread of its share among texts if words fell by chance
+        square = _Entries(of_text.rows, of_text.columns, of_text.values**2, of_text.shape).back(np.ones(n))
+        noise = np.sqrt(_Entries(of_word.rows, of_word.columns, of_word.values**2, of_word.shape).back(square) / n)
+        importance = (0.5 / np.bincount(labels, minlength=2))[labels]
         rng = np.random.default_rng(5)
-        scale = 30.0  # of the averaged vectors, which are small beside their parts
-        state = [rng.normal(0, 0.05, (len(used), DIMENSIONS)).astype(np.float32), rng.normal(0, 0.5, (DIMENSIONS, 2)).astype(np.float32), np.zeros(2, np.float32)]
-        first, second = [np.zeros_like(x) for x in state], [np.zeros_like(x) for x in state]
-        goal = np.eye(2, dtype=np.float32)[labels]
-        weight = (0.5 / np.bincount(labels, minlength=2))[labels].astype(np.float32)[:, None]
-        for k in range(1, rounds + 1):
-            e, w, b = state
-            x = np.add.reduceat(e[columns] * values[:, None], np.minimum(row_edge, len(rows) - 1)) * present[:, None] * scale
-            z = x @ w + b
-            p = np.exp(z - z.max(1, keepdims=True))
-            p /= p.sum(1, keepdims=True)
-            d = (p - goal) * weight
-            dx = (d @ w.T) * scale
-            de = np.add.reduceat(dx[back_rows] * back_values, column_edge) + decay * e
-            for i, g in enumerate((de, x.T @ d + DECAY * w, d.sum(0))):
-                first[i] = 0.9 * first[i] + 0.1 * g
-                second[i] = 0.99 * second[i] + 0.01 * g * g
-                state[i] = state[i] - (0.1 if i == 0 else 1) * RATE * (first[i] / (1 - 0.9**k)) / (np.sqrt(second[i] / (1 - 0.99**k)) + 1e-8)
-        e, w, b = state
-        weights = np.zeros(cells, np.float32)
-        weights[used] = e @ (w[:, 1] - w[:, 0]) * scale
-        return cls(weights, float(b[1] - b[0]))
-
-    @staticmethod
-    def _entries(texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        """(text, cell, share of the text's mean) by step, each pair of text and cell once."""
-        done = 0
-        for cell, word, which, at in _bags(pa.array(texts, pa.string()), FIT_BYTES):
-            part = np.bincount(word)
-            n = np.maximum(np.diff(at), 1)
-            pair, count = np.unique(t.rows_of(at) * max(len(part), 1) + which, return_counts=True)
-            row, w = pair // max(len(part), 1), pair % max(len(part), 1)
-            by = np.argsort(word, kind="stable")
-            edge = np.concatenate([[0], np.cumsum(part)])
-            take = interval_rows(edge[w], edge[w + 1])[1]
-            key, inverse = np.unique(np.repeat(row, part[w]) * (1 << CELLS_BITS) + cell[by][take], return_inverse=True)
-            values = np.bincount(inverse, np.repeat(count / n[row] / part[w], part[w]), len(key)).astype(np.float32)
-            yield (key >> CELLS_BITS) + done, key & ((1 << CELLS_BITS) - 1), values
-            done += len(at) - 1
+        vectors, layer, bias = np.zeros((len(used), DIMENSIONS)), rng.normal(0, 0.5, (DIMENSIONS, 2)), 0.0
+        limit = penalty * 0.5 / np.sqrt(n)
+        logit = np.zeros(n)
+        for k in range(rounds + LAST):
+            if k == rounds:
+                limit *= RELAXED
+            along = layer[:, 1] - layer[:, 0]
+            error = (sigmoid(logit + bias) - labels) * importance
+            gradient = of_word.back(of_text.back(error)) / noise
+            work = (np.abs(vectors).sum(1) > 0) | ((k < rounds) & (np.abs(gradient) > limit))
+            if not work.any():
+                break
+            w = of_word.of_columns(work)
+            near = np.bincount(w.rows, minlength=w.shape[0]) > 0  # words that hold any of these cells
+            x = of_text.of_columns(near)
+            number = np.cumsum(near) - 1
+            w = _Entries(number[w.rows], w.columns, w.values / noise[work][w.columns], (int(near.sum()), w.shape[1]))
+            # the greatest curvature on these cells, by power iteration
+            u, curve = np.ones(w.shape[1]) / np.sqrt(w.shape[1]), 0.0
+            for _ in range(8):
+                bag = x.times(w.times(u))
+                u = w.back(x.back((bag - bag.mean()) * importance))
+                curve = float(np.linalg.norm(u)) or 1.0
+                u /= curve
+            now = vectors[work]
+            ahead, momentum = now.copy(), 1.0
+            for _ in range(steps):
+                along = layer[:, 1] - layer[:, 0]
+                size = float(along @ along)
+                rate = 4 / (1.1 * curve * size)
+                error = (sigmoid(x.times(w.times(ahead @ along)) + bias) - labels) * importance
+                new = ahead - rate * w.back(x.back(error))[:, None] * along
+                length = np.linalg.norm(new, axis=1, keepdims=True)
+                new *= np.maximum(0, 1 - rate * limit * np.sqrt(size) / np.maximum(length, 1e-300))
+                following = (1 + np.sqrt(1 + 4 * momentum * momentum)) / 2
+                ahead, now, momentum = new + (momentum - 1) / following * (new - now), new, following
+                bias -= error.sum()
+            vectors[work] = now
+            along = layer[:, 1] - layer[:, 0]
+            logit = x.times(w.times(now @ along))
+            # the layer's own step, jointly with the vectors
+            error = (sigmoid(logit + bias) - labels) * importance
+            bags = np.stack([x.times(w.times(now[:, d])) for d in range(DIMENSIONS)], 1)
+            step = bags.T @ error / max(float((bags * bags).sum(1) @ importance), 1e-12)
+            layer -= np.stack([-step, step], 1) + DECAY * layer
+            logit = bags @ (layer[:, 1] - layer[:, 0])
+        weights[used] = vectors @ (layer[:, 1] - layer[:, 0]) / noise
+        return cls(weights, float(bias))
 
     def score(self, column: pa.Array) -> np.ndarray:
-        out = []
-        for cell, word, which, at in _bags(column):
-            mean = np.bincount(word, self.weights[cell]) / np.maximum(np.bincount(word), 1)
-            total = np.concatenate([[0], np.cumsum(mean[which])])[at]
-            out.append(np.diff(total) / np.maximum(np.diff(at), 1))
-        return sigmoid(np.concatenate([*out, np.zeros(0)]) + self.bias)
+        out = [np.zeros(0)]
+        for words, cell, word, which, at in _bags(column):
+            mean = np.bincount(word, self.weights[cell], len(words)) / np.maximum(np.bincount(word, minlength=len(words)), 1)
+            out.append(np.bincount(t.rows_of(at), mean[which], len(at) - 1) / np.maximum(np.diff(at), 1))
+        return sigmoid(np.concatenate(out) + self.bias) if np.isfinite(self.bias) else np.full(len(column), float(self.bias > 0))
 
 
-def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", per_class: int = ROWS_PER_CLASS, text_bytes: int = TEXT_BYTES) -> Model:
-    rows = labelled_sample(docs, labels, label, remainder("doc_id", 5) == 0, per_class, text_bytes)
-    return Model.fit([r[1] for r in rows], np.array([int(r[2]) for r in rows], np.int64), 0.5)
+def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", per_class: int = ROWS_PER_CLASS, class_bytes: int = CLASS_BYTES) -> Model:
+    rows = labelled_sample(docs, labels, label, remainder("doc_id", 5) == 0, per_class, class_bytes)
+    return Model.fit([r[1] for r in rows], np.array([int(r[2]) for r in rows], np.int64))
 
 
 def scored(docs: DataFrame, model: Model, text: str = "text", name: str = "score") -> DataFrame:

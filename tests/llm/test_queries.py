@@ -297,13 +297,148 @@ def test_toxicity(spark):
     out = held_out(spark, "op2_toxicity", "toxic", 5, 0)
     assert np.mean([x.predicted == v for x, v in out]) > 0.9
     texts = [f"you {w} thing {i}" for i in range(60) for w in ("idiot", "friend")]
-    model = toxicity.Model.fit(texts, np.array([1, 0] * 60), 0.5)
+    model = toxicity.Model.fit(texts, np.array([1, 0] * 60))
     score = model.score(pa.array(["idiotic", "idi0t idiots", "friends", "", None]))
     assert score[0] > 0.5 and score[1] > 0.5 and score[2] < 0.5 and score[3] == score[4]
-    assert toxicity.Model.fit([], np.zeros(0, np.int64), 0.5).score(pa.array(["a"])) == [0.5]
+    assert toxicity.Model.fit([], np.zeros(0, np.int64)).score(pa.array(["a", None])).tolist() == [0, 0]
+    for k in (0, 1):  # one label alone
+        assert toxicity.Model.fit(["a b", "c"], np.array([k, k])).score(pa.array(["a", None, "x"])).tolist() == [k, k, k]
+    docs = hard(spark)
+    none = spark.createDataFrame([], "doc_id bigint, toxic int")
+    assert {r.score for r in toxicity.scored(docs, toxicity.train(docs, none)).collect()} == {0.0}
+    with pytest.raises(ValueError):
+        toxicity.scored(docs.withColumn("score", mixing.F.lit(1)), model)
     assert toxicity.scored(hard(spark), model).count() == len(HARD) and toxicity.scored(hard(spark).limit(0), model).collect() == []
 
 
+def _hash(hasher, values):
+    """The hash of a word by plain integers."""
+    total, power, mask = 0, 1, (1 << 64) - 1
+    for v in values:
+        total, power = (total + int(v) * power) & mask, power * int(hasher) & mask
+    return total
+
+
+def _mix(h):
+    mask = (1 << 64) - 1
+    h = (h ^ h >> 30) * 0xBF58476D1CE4E5B9 & mask
+    h = (h ^ h >> 27) * 0x94D049BB133111EB & mask
+    return h ^ h >> 31
+
+
+def test_language_by_row(spark):
+    """Whole texts scored word by word with plain dictionaries of the same tables."""
+    import math
+    import re
+
+    from quillframe.llm._text import Hasher
+
+    docs = read(spark, "documents")
+    model, base = language.train(docs), int(Hasher().words.base)
+    tables = {n: dict(zip(keys.tolist(), rows.tolist(), strict=True)) for n, (keys, rows) in model.tables.items()}
+    char = lambda c: _mix(ord(c) + 97)
+    word_of = lambda w: _mix(_hash(base, map(char, w)) + len(w) & (1 << 64) - 1)
+    seen = {}
+
+    def scores(w):
+        if w not in seen:
+            found = tables[0].get(word_of(w))
+            marks = [1, *map(char, w), 2]
+            for n in (5, 4, 3, 2, 1):
+                if found is None:
+                    hits = [r for i in range(len(marks) - n + 1) if (r := tables[n].get(_mix(_hash(base, marks[i : i + n]) + n & (1 << 64) - 1))) is not None]
+                    found = [sum(x) / len(hits) for x in zip(*hits, strict=True)] if hits else None
+            seen[w] = found or [0.0] * len(model.languages)
+        return seen[w]
+
+    got = {r.doc_id: r for r in language.identify(docs.unionByName(docs), model).collect()}
+    assert len(got) == docs.count() and language.identify(docs.unionByName(docs), model).distinct().count() == len(got)  # repeats alike, whatever stands beside them
+    for r in docs.collect():
+        words = re.findall(r"[^\W\d_]+", r.text.lower())
+        total = [sum(x) for x in zip(*map(scores, words), strict=True)] if words else []
+        if not words:
+            assert (got[r.doc_id].lang_pred, got[r.doc_id].score) == ("und", 0)
+            continue
+        best = max(range(len(total)), key=lambda k: (total[k], -k))
+        assert got[r.doc_id].lang_pred == model.languages[best] and abs(got[r.doc_id].score - 1 / sum(math.exp(max(x - total[best], -700)) for x in total)) < 1e-4, r.doc_id
+    two = language.Model.fit(["same words", "same words"], ["xx", "aa"])
+    assert two.predict(pa.array(["same", "same"])) [0] == ["aa", "aa"]  # ties: the first in alphabetical order
+    assert language.identify(hard(spark).withColumn("score", mixing.F.lit(1)).withColumn("lang_pred", mixing.F.lit(1)), model).count() == len(HARD)
+
+
+def test_toxicity_by_row(spark):
+    """Whole texts scored word by word with a plain dictionary of the same cells' numbers."""
+    import math
+    import re
+
+    from quillframe.llm._text import Hasher
+
+    docs = read(spark, "documents")
+    model = toxicity.train(docs, read(spark, "labels"))
+    weights, hasher, mask = {k: float(model.weights[k]) for k in np.flatnonzero(model.weights)}, Hasher(), (1 << toxicity.CELLS_BITS) - 1
+    table, seen = hasher.table.tolist(), {}
+
+    def number(w):
+        if w not in seen:
+            marks = [1, *(table[c] for c in w), 2]
+            cells = [_mix(_hash(hasher.bytes.base, (table[c] for c in w)) + len(w) * 0x9E3779B97F4A7C15 & (1 << 64) - 1)]
+            cells += [_mix(_hash(hasher.words.base, marks[i : i + n]) + n & (1 << 64) - 1) for n in toxicity.SIZES for i in range(len(marks) - n + 1)]
+            seen[w] = sum(weights.get(c & mask, 0.0) for c in cells) / len(cells)
+        return seen[w]
+
+    got = {r.doc_id: r.score for r in toxicity.scored(docs.select("doc_id", "text"), model).collect()}
+    for r in docs.collect():
+        words = re.findall(rb"[0-9a-z\x80-\xff]+", r.text.lower().encode())
+        z = (sum(map(number, words)) / len(words) if words else 0.0) + model.bias
+        assert abs(got[r.doc_id] - 1 / (1 + math.exp(-max(min(z, 500), -500)))) < 1e-6, r.doc_id
+
+
+def test_quality_by_row(spark):
+    """The statistics of whole texts word by word, and the rules one by one."""
+    import math
+    import re
+    from collections import Counter
+
+    docs = read(spark, "documents")
+    model = quality.train(docs, read(spark, "labels"))
+
+    def statistics(text):
+        raw = text.encode()
+        words, lines = re.findall(rb"[^\x20\x09-\x0D]+", raw), re.findall(rb"[^\n]+", raw)
+        n, size, letters = max(len(words), 1), max(len(raw), 1), max(len(re.findall(rb"[A-Za-z]", raw)), 1)
+        count = lambda p: len(re.findall(p, raw))
+        fresh = sum(len(set(words[i : i + quality.BLOCK_WORDS])) for i in range(0, len(words), quality.BLOCK_WORDS))
+        return [
+            len(words), sum(map(len, words)) / n, count(rb"[A-Z]") / letters, count(rb"[0-9]") / size, count(rb"[.,;:?]") / n, raw.count(b"!") / n, raw.count(b"|") / n, count(rb"[#$%&*@<>{}\[\]=\\^~_]") / n,
+            len(words) / max(len(lines), 1), fresh / n, max(Counter(words).values(), default=0) / n, sum(a == b for a, b in zip(words, words[1:], strict=False)) / n,
+            1 - len(set(lines)) / len(lines) if lines else 0.0, sum(c >= 128 for c in raw) / size,
+        ]
+
+    got = {r.doc_id: r.s for r in quality.with_statistics(docs).select("doc_id", model.column().alias("s")).collect()}
+    for r in docs.collect():
+        x = statistics(r.text)
+        z = model.bias + sum(w for rule, w in zip(model.rules, model.weights.tolist(), strict=True) if all(low < x[k] <= high for k, low, high in rule.bounds))
+        assert abs(got[r.doc_id] - 1 / (1 + math.exp(-z))) < 1e-9, r.doc_id
+    twice = quality.with_statistics(docs.unionByName(docs)).distinct()
+    assert twice.count() == docs.count()
+
+
+def test_samples_are_bounded(spark):
+    """An id that repeats, and long texts: the sample stays within its bounds."""
+    from quillframe.llm.learn import labelled_sample
+
+    F = mixing.F
+    docs = spark.range(3000).select((F.col("id") % 30).alias("doc_id"), F.concat(F.lit("t"), F.col("id").cast("string"), F.repeat(F.lit(" x"), F.when(F.col("id") % 7 == 0, 500).otherwise(5))).alias("text"))
+    labels = spark.range(30).select(F.col("id").alias("doc_id"), (F.col("id") % 2).cast("int").alias("toxic"))
+    rows = labelled_sample(docs, labels.unionByName(labels), "toxic", F.lit(False), per_class=10)
+    assert len(rows) <= 40 and len({r[0] for r in rows}) == len(rows) and rows == labelled_sample(docs, labels, "toxic", F.lit(False), per_class=10)
+    for limit in (60, 3000):
+        rows = labelled_sample(docs.withColumn("lang", F.lit("a")), None, "lang", F.lit(False), 2000, limit)
+        assert rows and sum(len(r[1]) for r in rows) <= limit
+    assert any(len(r[1]) > 1000 for r in rows) or len(rows) > 0
+    assert labelled_sample(docs.limit(0), labels, "toxic", F.lit(False)) == [] and labelled_sample(docs, labels.limit(0), "toxic", F.lit(False)) == []
+
+
 def test_quality(spark):
     out = held_out(spark, "op10_quality", "quality", 4, 2)
     assert np.mean([x.predicted == v for x, v in out]) > 0.9
