@@ -7,13 +7,16 @@ from pyspark.sql import functions as F
 
 from .shared import written
 
+#: A node's neighbours are dealt to so many parts, so that a hub's edges do not meet in one task.
+PARTS = 32
+
 
 def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -> DataFrame:
     """(node, component): the least node that can be reached, for every node that has an edge.
 
     Large star: each node hands its greater neighbours to its least neighbour; small star: each node hands its lesser
-    neighbours to the least of them. When no edge changes, every edge points to the component's least node. A
-    node with very many neighbours is only ever aggregated and joined, so that Spark may combine and split it.
+    neighbours to the least of them. When no edge changes, every edge points to the component's least node. The least
+    neighbour is found by parts of a node's neighbours and goes back to each part, so that the edges of a hub stay dealt.
     Edges that still change after so many rounds raise an error, as their components are not whole.
     """
     now = written(edges.select(F.least(a, b).alias("v"), F.greatest(a, b).alias("u")).where("v < u").distinct())
@@ -21,9 +24,11 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -
     for _ in range(rounds):
         if not state[0]:
             break
-        both = now.select("u", "v").unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u"), F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        both = now.select("u", "v").unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v"))).withColumn("part", F.pmod(F.xxhash64("v"), F.lit(PARTS)))
+        parts = both.groupBy("u", "part").agg(F.min("v").alias("m"))
+        least = parts.groupBy("u").agg(F.min("m").alias("m")).select("u", F.least("u", "m").alias("m"))
+        of_part = parts.select("u", "part").join(least, "u")  # at most PARTS rows a node
+        large = both.where("v > u").join(of_part, ["u", "part"]).select(F.col("v").alias("u"), F.col("m").alias("v"))
         large = large.unionByName(least.where("m < u").select("u", F.col("m").alias("v"))).where("v < u")  # repeats go in the small star
         small_least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(small_least, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))

@@ -3,14 +3,16 @@
 Two vectors link where labels are equal and not null and the cosine, in double precision, is at least the threshold. Equal
 vectors of a label are one entity with a weight. Each entity goes to one bucket in each table; a worker multiplies the vectors of
 a bucket, block by block, and counts a pair only in the first table where the two share a bucket. So no pair leaves a worker:
-only counts of links and, of each block, a star for each of its components. A bucket of more than ``bucket_rows`` entities is
-dealt as pairs of blocks, which together hold all its pairs.
+only counts of links and, of each block, a star for each of its components. Buckets are found by ids alone; vectors are
+fetched for those of two entities or more. A bucket of more than ``bucket_rows`` entities is dealt as pairs of blocks, which
+together hold all its pairs.
 
 Recall: vectors at an angle a share a bucket of k signs with probability (1 - a/pi)**k; at cosine 0.98, k = 16 and 17 tables
 find a pair with probability 0.9993. Links found are exact.
 
 Defined results: vectors that are null, empty, zero or hold null or non-finite components, and rows with null label, link with
-nothing; vectors of different length do not link; a row without id is reported with no links and no component; rows that repeat
+nothing; vectors of different length do not link; labels of any type with an order are compared as they are (as in SQL, 0.0 equals -0.0
+and NaN equals NaN), and ids of any such type are kept; a row without id is reported with no links and no component; rows that repeat
 count as other vectors; other columns are ignored.
 """
 
@@ -64,7 +66,7 @@ def _hash_rows(bits: int, tables: int):
                 rows = np.flatnonzero(good & (lengths == length))
                 matrix = flat[(at[rows][:, None] + np.arange(length)).ravel()].reshape(-1, length)
                 for r, vector, key in zip(rows.tolist(), matrix, sign_keys(unit_rows(matrix), bits, tables).tolist(), strict=True):
-                    sid[r] = int.from_bytes(hashlib.blake2b(f"{label[r]}:".encode() + vector.tobytes(), digest_size=8).digest(), "little") >> 1
+                    sid[r] = int.from_bytes(hashlib.blake2b(label[r].encode() + b"\0" + vector.tobytes(), digest_size=8).digest(), "little") >> 1
                     keys[r] = key
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(sid, pa.int64()), pa.array(keys, pa.list_(pa.int32()))], names=["vec_id", "vector", "label", "sid", "keys"])
 
@@ -97,7 +99,7 @@ def _compare(threshold: float):
     def bucket(g: pa.Table) -> tuple[np.ndarray, ...]:
         sid, weight, own, first = (g.column(k).to_numpy() for k in ("sid", "weight", "own", "first"))
         table, keys = g.column("table").to_numpy(), np.array(g.column("keys").to_pylist())
-        labels = g.column("label").to_numpy()
+        labels = g.column("label").combine_chunks().dictionary_encode().indices.to_numpy()
         lengths = pc.list_value_length(g.column("vector")).to_numpy()
         links, left, right = np.zeros(len(sid), np.int64), [], []
         for length in np.unique(lengths):
@@ -151,18 +153,20 @@ def _compare(threshold: float):
 
 def near_duplicates(vectors: DataFrame, vec_id: str = "vec_id", vector: str = "embedding", label: str = "label", threshold: float = COSINE, bits: int = BITS, tables: int = TABLES, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     """vec_id, n_links, component_id, kept of every row."""
-    own = vectors.select(F.col(vec_id).cast("bigint").alias("vec_id"), F.col(vector).alias("vector"), F.col(label).cast("bigint").alias("label"))
-    kind = dict(own.dtypes)["vector"]
+    types = dict(vectors.dtypes)
+    name = F.col(label) + 0 if types[label] in ("float", "double") else F.col(label)  # so that 0.0 and -0.0 have one name
+    own = vectors.select(F.col(vec_id).alias("vec_id"), F.col(vector).alias("vector"), name.cast("string").alias("label"))
+    kind, ids = dict(own.dtypes)["vector"], dict(own.dtypes)["vec_id"]
     if kind not in ("array<float>", "array<double>"):
         kind = "array<double>"
         own = own.withColumn("vector", F.col("vector").cast(kind))
-    rows = written(own.mapInArrow(_hash_rows(bits, tables), f"vec_id bigint, vector {kind}, label bigint, sid bigint, keys array<int>"))
+    rows = written(own.mapInArrow(_hash_rows(bits, tables), f"vec_id {ids}, vector {kind}, label string, sid bigint, keys array<int>"))
     entities = written(rows.where("sid is not null").groupBy("sid").agg(F.count("*").alias("weight"), F.min("vec_id").alias("least"), F.first("label").alias("label"), F.first("vector").alias("vector"), F.first("keys").alias("keys")))
-    dealt = entities.select("*", F.posexplode("keys").alias("table", "key")).withColumn("bucket", F.xxhash64("label", F.size("vector"), "table", "key"))
+    dealt = entities.select("sid", "label", F.size("vector").alias("length"), F.posexplode("keys").alias("table", "key")).select("sid", "table", F.xxhash64("label", "length", "table", "key").alias("bucket"))
     sizes = dealt.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket", F.ceil(F.col("n") / bucket_rows).cast("int").alias("blocks"))
     dealt = dealt.join(sizes, "bucket").withColumn("own", F.pmod(F.xxhash64("sid", F.lit(1)), "blocks").cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("first", F.least("own", "other")).withColumn("second", F.greatest("own", "other"))
-    dealt = dealt.select("bucket", "first", "second", "own", "sid", "weight", "label", "table", "keys", "vector")
+    dealt = dealt.join(entities.select("sid", "weight", "label", "keys", "vector"), "sid").select("bucket", "first", "second", "own", "sid", "weight", "label", "table", "keys", "vector")
     found = written(dealt.repartition("bucket", "first", "second").sortWithinPartitions("bucket", "first", "second").mapInArrow(_compare(threshold), "a bigint, b bigint, n bigint"))
     links = found.groupBy(F.col("a").alias("sid")).agg(F.sum("n").alias("n"))
     of = components(found.where("a <> b").select("a", "b")).select(F.col("node").alias("sid"), "component")

@@ -116,6 +116,23 @@ def test_components(spark):
     assert got == {**dict.fromkeys(range(1, 41), 1), 100: 100, 101: 100, 102: 100}
 
 
+def test_components_of_hubs(spark):
+    rng = np.random.default_rng(3)
+    edges = [(5000, int(x)) for x in range(1, 900)] + [(int(a), int(b)) for a, b in rng.integers(10_000, 10_400, (300, 2))]
+    parent = {x: x for e in edges for x in e}
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in edges:
+        a, b = sorted((root(a), root(b)))
+        parent[b] = a
+    got = {r.node: r.component for r in components(spark.createDataFrame(edges, "a bigint, b bigint")).collect()}
+    assert got == {x: root(x) for e in edges if e[0] != e[1] for x in e} | {x: root(x) for x in got}
+
+
 def test_components_that_are_not_whole_raise(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(1, 40)], "a bigint, b bigint")
     with pytest.raises(RuntimeError, match="after 1 rounds"):
@@ -135,6 +152,11 @@ def test_embeddings(spark):
     assert embeddings.near_duplicates(df.limit(0)).collect() == []
     e = pairs(spark, "embeddings", "vec_id", "embedding", "label")
     assert rows(QUERIES["op9_embedding_dedup"](spark, SF)) == sorted(embeddings.brute(e), key=str)
+    # labels as they are: doubles, strings; ids as they are
+    for kind, names in (("double", [1.2, 1.7, -0.0, 0.0, float("nan"), float("nan")]), ("string", ["x", "y", "", "", "z", "z"])):
+        data = [(f"v{i}", [1.0, 2.0], x) for i, x in enumerate(names)]
+        got = embeddings.near_duplicates(spark.createDataFrame(data, f"vec_id string, embedding array<double>, label {kind}"))
+        assert rows(got) == [("v0", 0, "v0", True), ("v1", 0, "v1", True), ("v2", 1, "v2", True), ("v3", 1, "v2", False), ("v4", 1, "v4", True), ("v5", 1, "v4", False)]
     # recall at the threshold itself, with the parameters in use
     found = 0
     for k in range(200):
