@@ -17,9 +17,11 @@ from . import _text as t
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; only where that is unset, as in tests, one of our own."""
+    """The folder of spark.checkpoint.dir; only where that is unset in a local session, as in tests, one of our own."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         base = "/tmp/checkpoints/quillframe"
         if spark.sparkContext.getCheckpointDir() is None:
             spark.sparkContext.setCheckpointDir(base)
@@ -61,9 +63,14 @@ def release(spark: SparkSession, but: int = 0) -> None:
 
 
 def shipped(spark: SparkSession, value: object) -> Callable[[], object]:
-    """A value of checked size for the executors: broadcast as bytes that bring their classes along."""
+    """A value of checked size for the executors: broadcast as bytes that bring their classes along. Its ``held`` can be destroyed after use."""
     held = spark.sparkContext.broadcast(cloudpickle.dumps(value))
-    return lambda: pickle.loads(held.value)
+
+    def get() -> object:
+        return pickle.loads(held.value)
+
+    get.held = held
+    return get
 
 
 #: Cells of the sketch: its size does not grow with the input.

@@ -83,7 +83,7 @@ def test_decontaminate(spark):
 
     want = sorted(decontaminate.brute(HARD, items), key=str)
     assert digest(decontaminate.hits(hard(spark), table)) == want
-    assert digest(decontaminate.hits(hard(spark), table, block_bytes=1, shard_words=1)) == want
+    assert digest(decontaminate.hits(hard(spark), table, shard_words=1)) == want
     assert not any(r[5] for r in digest(decontaminate.hits(hard(spark), table.limit(0))))
     assert decontaminate.hits(hard(spark).limit(0), table).collect() == []
     got = rows(QUERIES["op8_decontaminate"](spark, SF))
@@ -92,6 +92,34 @@ def test_decontaminate(spark):
     assert left == {4: "\n two"}
 
 
+def test_decontaminate_by_blocks(spark, monkeypatch):
+    """Phrases of several blocks, of which one is broadcast at a time; repeated rows and ids, clashing names."""
+    from pyspark.sql import functions as F
+
+    items = [(i % 40, " ".join(f"w{(i * 13 + k) % 977}" for k in range(15))) for i in range(60)] + [(90, "short one")]
+    table = spark.createDataFrame(items, "item_id bigint, text string").repartition(1)
+    live, most, ship = [], [], decontaminate.shipped
+
+    def counting(session, value):
+        get = ship(session, value)
+        if value.ids:
+            live.append(get)
+            most.append(len(live))
+            destroy = get.held.destroy
+            get.held.destroy = lambda *a, **k: (live.remove(get), destroy(*a, **k))
+        return get
+
+    monkeypatch.setattr(decontaminate, "shipped", counting)
+    docs = spark.createDataFrame([*HARD, *HARD[:4]], "doc_id bigint, text string").withColumn("key", F.lit(1)).withColumn("spans", F.lit("s")).withColumn("n_words", F.lit(7)).withColumn("row", F.lit("r"))
+    n = F.aggregate("spans", F.lit(0).cast("bigint"), lambda a, s: a + s["last"] - s["first"])
+    got = decontaminate.hits(docs, table, block_bytes=1500)
+    got = rows(got.select("doc_id", "n_words", n, F.size("item_ids"), decontaminate.digest(F.col("item_ids")), F.size("spans") > 0))
+    assert got == sorted(decontaminate.brute([*HARD, *HARD[:4]], items), key=str)
+    assert len(most) > 2 and max(most) == 1
+    many, one = (rows(decontaminate.remove_spans(docs, table, block_bytes=k)) for k in (1500, 1 << 20))
+    assert many == one and 0 < len(one) < docs.count() and decontaminate.remove_spans(docs, table, block_bytes=1500).columns == docs.columns
+
+
 def test_near_duplicates(spark):
     import random
 
