@@ -8,12 +8,18 @@ across tasks after it. Only anchors with several different fragments need words:
 FM-index gives by backward search, for the end of each window, the longest piece (to 20 words) that occurs at least
 twice; the places of those that reach the threshold are located, and all but the first are reported.
 
-A sequence that is frequent in the corpus (by a sketch of fixed size over all documents) is taken as an anchor only
-where a window holds none that is not. A window that reaches over the edge of a common passage thus has an anchor
-at that edge, and an anchor within the passage has only the few fragments that the window length allows.
+A sequence that is frequent in the corpus (by a sketch over all documents) is taken as an anchor only where a window
+holds none that is not. A window that reaches over the edge of a common passage thus has an anchor at that edge, and an
+anchor within the passage has only the few fragments that the window length allows. A sequence that the sketch does not mark
+has at most 4 / 2**18 of all places, which is no more than a task's share among 65,536. An anchor that still has more than
+``CROWDED`` different fragments is not indexed: its windows are dealt one by one, by their own words, and the first place
+of each is found by a sum that combines before it shuffles; so no index grows with the corpus.
+
+A row is known by a 64-bit hash of its id and text: rows equal in both share their result, as neither is earlier than the other.
 
 Defined results: null text has no words; a document of fewer than 20 words loses nothing; order is by doc_id (a null
-id comes first), then by place; rows of one doc_id at the same place are not earlier than each other; other columns are ignored.
+id comes first), then by place; rows of one doc_id at the same place are not earlier than each other, and all rows without id
+are one document in this; ids are integers, others are refused; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -33,11 +39,14 @@ from .shared import CELLS_BITS, gram_sketch, written
 WINDOW, ANCHOR = 20, 8
 BLOCK_WORDS = 1 << 20
 SHARD_WORDS = 1 << 20
+#: Different fragments of an anchor that are still indexed together; beyond, n has this bit.
+CROWDED, CROWD_BIT = 4096, 1 << 30
 #: Low bits of the order key hold the place, so that ties go to the left.
 _PLACE = np.uint64((1 << 28) - 1)
 NO_ID = -(1 << 63)
 
-MARKS = "key bigint, frag bigint, doc bigint, pos bigint, n int"
+MARKS = "key bigint, frag bigint, doc bigint, row bigint, pos int, n int"
+_NAMES = ("key", "frag", "doc", "row", "pos", "n")
 
 
 def _hot(counts: np.ndarray) -> np.ndarray:
@@ -67,24 +76,24 @@ def fragments(words: np.ndarray, at: np.ndarray, hot: np.ndarray, hasher: t.Hash
     return grams[chosen[first]], hasher.spans(words, starts, starts + n + window - 1), starts, n
 
 
-def _runs(doc: np.ndarray, tag: np.ndarray, start: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Window ranges, sorted and with those joined that touch."""
-    by = np.lexsort((start, tag, doc))
-    doc, tag, start, end = doc[by], tag[by], start[by], (start + n)[by]
+def _runs(row: np.ndarray, start: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Window ranges of rows, sorted and with those joined that touch."""
+    by = np.lexsort((start, row))
+    row, start, end = row[by], start[by], (start + n)[by]
     if not len(by):
-        return doc, tag, start, end
-    same = (doc[1:] == doc[:-1]) & (tag[1:] == tag[:-1])
+        return row, start, end
+    same = row[1:] == row[:-1]
     group = np.concatenate([[0], np.cumsum(~same)])
     # the furthest end so far within a group
-    far = np.maximum.accumulate(end + group * (1 << 40)) - group * (1 << 40)
+    far = np.maximum.accumulate(end + group * (1 << 32)) - group * (1 << 32)
     new = np.concatenate([[True], ~same | (start[1:] > far[:-1])])
     i = np.flatnonzero(new)
-    return doc[i], tag[i], start[i], np.maximum.reduceat(end, i) - start[i]
+    return row[i], start[i], np.maximum.reduceat(end, i) - start[i]
 
 
-def _batch(key, frag, doc, pos, n) -> pa.RecordBatch:
-    arrays = [pa.array(np.ascontiguousarray(x).view(np.int64) if x.dtype == t.U64 else x, pa.int64()) for x in (key, frag, doc, pos)]
-    return pa.RecordBatch.from_arrays([*arrays, pa.array(n, pa.int32())], names=["key", "frag", "doc", "pos", "n"])
+def _batch(*columns: np.ndarray) -> pa.RecordBatch:
+    arrays = [pa.array(np.ascontiguousarray(x).view(np.int64) if x.dtype == t.U64 else x.astype(np.int64), pa.int64()) for x in columns[:4]]
+    return pa.RecordBatch.from_arrays([*arrays, *(pa.array(x.astype(np.int32)) for x in columns[4:])], names=list(_NAMES))
 
 
 def _first_marks(hot_raw: bytes, window: int):
@@ -96,29 +105,30 @@ def _first_marks(hot_raw: bytes, window: int):
         held: list[tuple] = []
 
         def flush() -> pa.RecordBatch:
-            anchor, frag, doc, tag, start, n = (np.concatenate(x) for x in zip(*held, strict=True))
-            by = np.lexsort((start, doc, frag))
-            anchor, frag, doc, tag, start, n = (x[by] for x in (anchor, frag, doc, tag, start, n))
+            anchor, frag, doc, row, start, n = (np.concatenate(x) for x in zip(*held, strict=True))
+            by = np.lexsort((row, start, doc, frag))
+            anchor, frag, doc, row, start, n = (x[by] for x in (anchor, frag, doc, row, start, n))
             new = np.concatenate([[True], frag[1:] != frag[:-1]])
             lead = np.maximum.accumulate(np.where(new, np.arange(len(frag)), 0))
             later = (doc != doc[lead]) | (start != start[lead])
-            d, g, s, m = _runs(doc[later], tag[later], start[later], n[later])
-            k = ~later
-            spread = t.mix((d.view(t.U64) ^ (s.astype(t.U64) << t.U64(20))))
-            return _batch(np.concatenate([anchor[k], spread]), np.concatenate([frag[k], spread]), np.concatenate([doc[k], d]), np.concatenate([(start[k] << 24) | tag[k], (s << 24) | g]), np.concatenate([n[k], -m]))
+            # equal rows say the same
+            again = np.concatenate([[False], ~new[1:] & (row[1:] == row[:-1]) & (start[1:] == start[:-1])])
+            r, s, m = _runs(row[later], start[later], n[later])
+            k = ~later & ~again
+            spread, none = t.mix(r.view(t.U64) ^ (s.astype(t.U64) << t.U64(20))), np.zeros(len(r), np.int64)
+            return _batch(np.concatenate([anchor[k], spread]), np.concatenate([frag[k], spread]), np.concatenate([doc[k], none]), np.concatenate([row[k], r]), np.concatenate([start[k], s]), np.concatenate([n[k], -m]))
 
         size = 0
         for b in batches:
-            doc_ids = b.column("doc").to_numpy(zero_copy_only=False).astype(np.int64)
+            doc_ids, rows = (b.column(x).to_numpy(zero_copy_only=False).astype(np.int64) for x in ("doc", "row"))
             data, offsets = t.text_buffers(b.column("text"))
             for i, j in t.steps(offsets):
                 part, own = data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
                 starts, ends, at = t.word_ranges(part, own, ws)
                 words = hasher.ranges(part, starts, ends)
                 anchor, frag, start, n = fragments(words, at, hot, hasher, window)
-                row = np.searchsorted(at, start, "right") - 1
-                tag = (hasher.ranges(part, own[:-1], own[1:]) >> t.U64(40)).astype(np.int64)
-                held.append((anchor, frag, doc_ids[i:j][row], tag[row], start - at[row], n))
+                of = np.searchsorted(at, start, "right") - 1
+                held.append((anchor, frag, doc_ids[i:j][of], rows[i:j][of], start - at[of], n))
                 size += len(words)
                 if size >= BLOCK_WORDS:
                     yield flush()
@@ -129,63 +139,92 @@ def _first_marks(hot_raw: bytes, window: int):
     return run
 
 
-def _tell_apart(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """After the shuffle by anchor, rows sorted: later places of a fragment become ranges (n < 0), and the first
-    ones go on (n > 0) where an anchor has several fragments. Keeps one anchor's first places at a time."""
-    held = [np.zeros(0, np.int64) for _ in range(5)]
-
-    def settle(rows: list[np.ndarray], complete: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
-        key, frag, doc, pos, n = rows
-        new = np.concatenate([[True], (key[1:] != key[:-1]) | (frag[1:] != frag[:-1])])
-        lead = np.maximum.accumulate(np.where(new, np.arange(len(key)), 0))
-        later = (n > 0) & ((doc != doc[lead]) | ((pos >> 24) != (pos[lead] >> 24)))
-        settled = [x[(n < 0) | later] for x in rows]
-        settled[4] = -np.abs(settled[4])
-        firsts = [x[(n > 0) & ~later] for x in rows]
-        now = firsts[0] != key[complete] if complete < len(key) else np.ones(len(firsts[0]), bool)
-        done = [x[now] for x in firsts]
-        k, f = done[0], done[1]
-        if len(k):
-            head = np.concatenate([[True], k[1:] != k[:-1]])
-            group = np.cumsum(head) - 1
-            kinds = np.bincount(group, np.concatenate([[False], f[1:] != f[:-1]]) & ~head)
-            several = kinds[group] > 0
-            done = [x[several] for x in done]
-        return [np.concatenate(x) for x in zip(settled, done, strict=True)], [x[~now] for x in firsts]
-
-    for b in batches:
-        rows = [np.concatenate([h, c.to_numpy(zero_copy_only=False).astype(np.int64)]) for h, c in zip(held, b.columns, strict=True)]
-        if not len(rows[0]):
-            continue
-        out, held = settle(rows, int(np.searchsorted(rows[0], rows[0][-1])))
-        yield _batch(*out)
-    if len(held[0]):
-        yield _batch(*settle(held, len(held[0]))[0])
+def _tell_apart(crowded: int):
+    """After the shuffle by anchor, rows sorted: later places of a fragment become ranges (n < 0), and the first ones go on (n > 0)
+    where an anchor has several fragments. Keeps one anchor's first places at a time, up to the number that makes a crowd."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [np.zeros(0, np.int64) for _ in _NAMES]  # first places of the last anchor
+        crowd: int | None = None  # the anchor whose first places are no longer held
+
+        def settle(rows: list[np.ndarray], end: bool) -> Iterator[pa.RecordBatch]:
+            nonlocal held, crowd
+            key, frag, doc, row, pos, n = rows
+            new = np.concatenate([[True], (key[1:] != key[:-1]) | (frag[1:] != frag[:-1])])
+            lead = np.maximum.accumulate(np.where(new, np.arange(len(key)), 0))
+            later = (n > 0) & ((doc != doc[lead]) | (pos != pos[lead]))
+            again = np.concatenate([[False], ~new[1:] & (row[1:] == row[:-1]) & (pos[1:] == pos[:-1])]) & ~later
+            settled = [x[(n < 0) | later] for x in rows]
+            settled[5] = -np.abs(settled[5])
+            firsts = [x[(n > 0) & ~later & ~again] for x in rows]
+            k, f = firsts[0], firsts[1]
+            last = (k == key[-1]) & (not end) if len(k) else np.zeros(0, bool)
+            out = [settled]
+            if len(k):
+                head = np.concatenate([[True], k[1:] != k[:-1]])
+                group = np.cumsum(head) - 1
+                size = np.bincount(group)[group]
+                several = np.bincount(group, np.concatenate([[False], f[1:] != f[:-1]]) & ~head)[group] > 0
+                many = (size > crowded) | (k == crowd if crowd is not None else False)
+                # of the last anchor, more may follow; a crowd goes on at once
+                go = (~last & several) | many
+                done = [x[go] for x in firsts]
+                done[5] = np.where(many[go], done[5] | CROWD_BIT, done[5])
+                out.append(done)
+                crowd = int(k[-1]) if last[-1] and many[-1] else None
+                # the last fragment stays as the measure of what follows, even when its own row has gone on
+                stay = last & ~many
+                held = [x[stay] for x in firsts]
+                if crowd is not None:
+                    lead_only = np.flatnonzero(last & (f == f[-1]))
+                    held = [x[lead_only] for x in firsts]
+                    held[5] = np.zeros(len(lead_only), np.int64)  # gone already
+            else:
+                held = [x[:0] for x in firsts]
+            yield _batch(*(np.concatenate(x) for x in zip(*out, strict=True)))
+
+        for b in batches:
+            if b.num_rows:
+                rows = [np.concatenate([h, c.to_numpy(zero_copy_only=False).astype(np.int64)]) for h, c in zip(held, b.columns, strict=True)]
+                yield from settle(rows, False)
+        if len(held[0]):
+            yield from settle(held, True)
+
+    return run
 
 
 def _with_words(window: int):
-    """Adds to each fragment that goes on its words' hashes."""
+    """Adds to each fragment that goes on its words' hashes; one of a crowd becomes its windows, known by a hash of their words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher, (ws, _, _) = t.Hasher(), t.byte_classes()
+        before: int | None = None
         for b in batches:
+            ids = b.column("row").to_numpy(zero_copy_only=False)
+            # of equal rows, which the join's order brings together, one will do
+            fresh = np.concatenate([[before is None or ids[0] != before], ids[1:] != ids[:-1]]) if len(ids) else np.zeros(0, bool)
+            before = int(ids[-1]) if len(ids) else before
+            b = b.filter(pa.array(fresh))
             data, offsets = t.text_buffers(b.column("text"))
-            marks, doc_ids = b.column("marks"), b.column("doc").to_numpy(zero_copy_only=False)
+            marks, doc_ids, ids = b.column("marks"), b.column("doc").to_numpy(zero_copy_only=False), ids[fresh]
             for i, j in t.steps(offsets):
                 part, own = data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
                 starts, ends, at = t.word_ranges(part, own, ws)
                 words = hasher.ranges(part, starts, ends)
-                tag = (hasher.ranges(part, own[:-1], own[1:]) >> t.U64(40)).astype(np.int64)
                 mine = marks.slice(i, j - i)
-                row = np.repeat(np.arange(j - i), pa.compute.list_value_length(mine).to_numpy(zero_copy_only=False).astype(np.int64))
+                of = np.repeat(np.arange(j - i), pa.compute.list_value_length(mine).to_numpy(zero_copy_only=False).astype(np.int64))
                 flat = mine.flatten()
-                key, pos, n = (flat.field(x).to_numpy(zero_copy_only=False) for x in ("key", "pos", "n"))
-                ok = (pos & 0xFFFFFF) == tag[row]
-                key, pos, n, row = key[ok], pos[ok], n[ok].astype(np.int64), row[ok]
-                length, first = n + window - 1, at[row] + (pos >> 24)
-                _, where = interval_rows(first, first + length)
+                key, pos, n = (flat.field(x).to_numpy(zero_copy_only=False).astype(np.int64) for x in ("key", "pos", "n"))
+                crowd = n >= CROWD_BIT
+                n = np.where(crowd, n - CROWD_BIT, n)
+                one, start = interval_rows(pos[crowd], (pos + n)[crowd])
+                first = at[of[crowd]][one] + start
+                key = np.concatenate([key[~crowd], hasher.spans(words, first, first + window).view(np.int64)])
+                whose, place = np.concatenate([of[~crowd], of[crowd][one]]), np.concatenate([pos[~crowd], start])
+                length = np.concatenate([n[~crowd] + window - 1, np.zeros(len(one), np.int64)])
+                where = interval_rows(at[whose] + place, at[whose] + place + length)[1]
                 lists = pa.LargeListArray.from_arrays(np.concatenate([[0], np.cumsum(length)]), pa.array(words[where].view(np.int64)))
-                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(doc_ids[i:j][row].astype(np.int64)), pa.array(pos), lists.cast(pa.list_(pa.int64()))], names=["key", "doc", "pos", "words"])
+                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(doc_ids[i:j][whose].astype(np.int64)), pa.array(ids[i:j][whose]), pa.array(place.astype(np.int32)), lists.cast(pa.list_(pa.int64()))], names=["key", "doc", "row", "pos", "words"])
 
     return run
 
@@ -193,7 +232,7 @@ def _with_words(window: int):
 def _search_shards(window: int, shard_words: int):
     """An FM-index over each shard's fragments; a range of windows for each that also starts earlier."""
 
-    def search(doc: np.ndarray, pos: np.ndarray, words: list[np.ndarray]) -> pa.RecordBatch:
+    def search(doc: np.ndarray, row: np.ndarray, pos: np.ndarray, words: list[np.ndarray]) -> pa.RecordBatch:
         n = np.array([len(w) for w in words])
         text = np.zeros(n.sum() + len(n), np.int64)
         first = np.cumsum(n + 1) - n - 1
@@ -207,47 +246,65 @@ def _search_shards(window: int, shard_words: int):
         own_hi = np.zeros(len(own_lo), np.int64)
         own_hi[which] = hi[hit]
         # of every place in the shard's text: its document's rank and its place there
-        ids, rank = np.unique(doc, return_inverse=True)
+        rank = np.unique(doc, return_inverse=True)[1]
         owner = np.repeat(np.arange(len(n)), n + 1)
-        value = (rank.astype(np.int64)[owner] << 36) | ((pos >> 24)[owner] + np.arange(len(text)) - first[owner])
+        value = (rank.astype(np.int64)[owner] << 36) | (pos[owner] + np.arange(len(text)) - first[owner])
         _, rows = interval_rows(own_lo, own_hi)
         least = np.minimum.reduceat(value[index.locate(rows)], np.concatenate([[0], np.cumsum(own_hi - own_lo)[:-1]])) if len(rows) else np.zeros(0, np.int64)
         later = value[starts[hit]] > least[which]
         p, s = piece[hit][later], starts[hit][later]
-        d, g, s, m = _runs(doc[p], pos[p] & 0xFFFFFF, (pos[p] >> 24) + s - first[p], np.ones(len(p), np.int64))
-        return pa.RecordBatch.from_arrays([pa.array(d, pa.int64()), pa.array((s << 24) | g, pa.int64()), pa.array(m.astype(np.int32))], names=["doc", "pos", "n"])
+        r, s, m = _runs(row[p], pos[p] + s - first[p], np.ones(len(p), np.int64))
+        return pa.RecordBatch.from_arrays([pa.array(r, pa.int64()), pa.array(s.astype(np.int32)), pa.array(m.astype(np.int32))], names=["row", "pos", "n"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, docs, poss, words, size = [], [], [], [], 0
+        keys, places, words, size = [], [], [], 0
         for b in batches:
-            key = b.column("key").to_numpy()
             column = b.column("words")
             flat, at = column.flatten().to_numpy(), np.concatenate([[0], np.cumsum(pa.compute.list_value_length(column).to_numpy())])
-            for i, (k, d, p) in enumerate(zip(key.tolist(), b.column("doc").to_pylist(), b.column("pos").to_pylist(), strict=True)):
+            for i, (k, *place) in enumerate(zip(*(b.column(x).to_pylist() for x in ("key", "doc", "row", "pos")), strict=True)):
                 if size >= shard_words and k != keys[-1]:
-                    yield search(np.array(docs), np.array(poss), words)
-                    keys, docs, poss, words, size = [], [], [], [], 0
+                    yield search(*np.array(places).T, words)
+                    keys, places, words, size = [], [], [], 0
                 keys.append(k)
-                docs.append(d)
-                poss.append(p)
+                places.append(place)
                 words.append(flat[at[i] : at[i + 1]])
                 size += len(words[-1])
         if keys:
-            yield search(np.array(docs), np.array(poss), words)
+            yield search(*np.array(places).T, words)
 
     return run
 
 
-def repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", window: int = WINDOW, shard_words: int = SHARD_WORDS) -> DataFrame:
-    """doc (NO_ID for null), pos (first window << 24 | tag of the text), n: ranges of windows that also start earlier."""
-    own = docs.select(F.coalesce(F.col(doc_id).cast("bigint"), F.lit(NO_ID)).alias("doc"), F.col(text).alias("text")).where("text is not null")
+def _own(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+    kind = dict(docs.dtypes)[doc_id]
+    if kind not in ("tinyint", "smallint", "int", "bigint"):
+        raise TypeError(f"{doc_id} is {kind}: places are ordered by integer ids")
+    # one and the same projection for both joins by row, so that their shuffle is made once
+    return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.xxhash64(doc_id, text).alias("row"))
+
+
+def _ordered(own: DataFrame) -> DataFrame:
+    return own.withColumn("doc", F.coalesce(F.col("doc_id").cast("bigint"), F.lit(NO_ID)))
+
+
+def repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", window: int = WINDOW, shard_words: int = SHARD_WORDS, crowded: int = CROWDED) -> DataFrame:
+    """row (a hash of id and text), pos (first window), n: ranges of windows that also start earlier."""
+    own = _own(docs, doc_id, text)
     hot = np.packbits(_hot(gram_sketch(own, "text", ANCHOR, False))).tobytes()
-    marks = own.mapInArrow(_first_marks(hot, window), MARKS)
-    told = written(marks.repartition("key").sortWithinPartitions("key", "frag", "doc", "pos").mapInArrow(_tell_apart, MARKS))
-    wanted = told.where("n > 0").groupBy("doc").agg(F.collect_list(F.struct("key", "pos", "n")).alias("marks"))
-    pieces = own.join(wanted, "doc").select("doc", "text", "marks").mapInArrow(_with_words(window), "key bigint, doc bigint, pos bigint, words array<bigint>")
-    found = pieces.repartition("key").sortWithinPartitions("key", "doc", "pos").mapInArrow(_search_shards(window, shard_words), "doc bigint, pos bigint, n int")
-    return told.where("n < 0").select("doc", "pos", F.expr("-n").cast("int").alias("n")).unionByName(found)
+    marks = _ordered(own).select("doc", "row", "text").mapInArrow(_first_marks(hot, window), MARKS)
+    told = written(marks.repartition("key").sortWithinPartitions("key", "frag", "doc", "pos", "row").mapInArrow(_tell_apart(crowded), MARKS))
+    wanted = told.where("n > 0").groupBy("row").agg(F.collect_list(F.struct("key", "pos", "n")).alias("marks"))  # no more than a document's words
+    pieces = _ordered(own.join(wanted, "row")).select("doc", "row", "text", "marks").mapInArrow(_with_words(window), "key bigint, doc bigint, row bigint, pos int, words array<bigint>")
+    settled = told.where("n < 0").select("row", "pos", F.expr("-n").cast("int").alias("n"))
+    some = told.where(F.col("n") >= CROWD_BIT).limit(1).count()
+    if some:
+        pieces = written(pieces)
+        alone = pieces.where(F.size("words") == 0).select("key", "doc", "row", "pos")
+        least = alone.groupBy("key").agg(F.min(F.struct("doc", "pos")).alias("least"), F.count("*").alias("many")).where("many > 1").select("key", "least")
+        settled = settled.unionByName(alone.join(least, "key").where(F.struct("doc", "pos") > F.col("least")).select("row", "pos", F.lit(1).alias("n")))
+        pieces = pieces.where(F.size("words") > 0)
+    found = pieces.repartition("key").sortWithinPartitions("key", "doc", "pos").mapInArrow(_search_shards(window, shard_words), "row bigint, pos int, n int")
+    return settled.unionByName(found)
 
 
 def _keep(window: int, with_text: bool):
@@ -258,16 +315,14 @@ def _keep(window: int, with_text: bool):
             for i, j in t.steps(offsets):
                 part, own = data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
                 starts, ends, at = t.word_ranges(part, own, ws)
-                tag = (hasher.ranges(part, own[:-1], own[1:]) >> t.U64(40)).astype(np.int64)
                 mine = b.column("gone").slice(i, j - i)
                 row = np.repeat(np.arange(j - i), pa.compute.list_value_length(mine).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64))
                 flat = mine.flatten()
-                pos, n = (flat.field(x).to_numpy(zero_copy_only=False) for x in ("pos", "n"))
-                ok = (pos & 0xFFFFFF) == tag[row]
-                first = at[row[ok]] + (pos[ok] >> 24)
+                pos, n = (flat.field(x).to_numpy(zero_copy_only=False).astype(np.int64) for x in ("pos", "n"))
+                first = at[row] + pos
                 delta = np.zeros(len(starts) + 1, np.int64)
                 np.add.at(delta, first, 1)
-                np.add.at(delta, first + n[ok].astype(np.int64) + window - 1, -1)
+                np.add.at(delta, first + n + window - 1, -1)
                 kept = np.cumsum(delta[:-1]) == 0
                 # the kept words' bytes and the separator behind each, as a blank
                 cover = np.zeros(len(part) + 1, np.int32)
@@ -291,13 +346,11 @@ def _keep(window: int, with_text: bool):
     return run
 
 
-def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", window: int = WINDOW, shard_words: int = SHARD_WORDS, with_text: bool = True) -> DataFrame:
+def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", window: int = WINDOW, shard_words: int = SHARD_WORDS, with_text: bool = True, crowded: int = CROWDED) -> DataFrame:
     """doc_id, n_words, n_removed and the kept words joined by blanks (or, without text, their SHA-256)."""
-    gone = repeats(docs, doc_id, text, window, shard_words).groupBy("doc").agg(F.collect_list(F.struct("pos", "n")).alias("gone"))
-    own = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(doc_id).cast("bigint"), F.lit(NO_ID)).alias("doc"), F.col(text).alias("text"))
-    kind = dict(own.dtypes)["doc_id"]
-    both = own.join(gone, "doc", "left").select("doc_id", "text", "gone")
-    return both.mapInArrow(_keep(window, with_text), f"doc_id {kind}, n_words bigint, n_removed bigint, {'kept_text' if with_text else 'kept_sha256'} string")
+    gone = repeats(docs, doc_id, text, window, shard_words, crowded).groupBy("row").agg(F.collect_list(F.struct("pos", "n")).alias("gone"))
+    both = _own(docs, doc_id, text).join(gone, "row", "left").select("doc_id", "text", "gone")
+    return both.mapInArrow(_keep(window, with_text), f"doc_id {dict(both.dtypes)['doc_id']}, n_words bigint, n_removed bigint, {'kept_text' if with_text else 'kept_sha256'} string")
 
 
 def brute(docs: list[tuple], window: int = WINDOW) -> list[tuple]:

@@ -67,10 +67,34 @@ def test_substring(spark):
     assert rows(substring.dedup(hard(spark), with_text=False)) == sorted(substring.brute(HARD), key=str)
     assert rows(QUERIES["op5_substring_dedup"](spark, SF)) == sorted(substring.brute(pairs(spark, "documents", "doc_id", "text")), key=str)
     assert substring.dedup(hard(spark).limit(0)).collect() == []
+    docs = pairs(spark, "documents", "doc_id", "text")
+    assert rows(substring.dedup(read(spark, "documents"), with_text=False, crowded=2)) == sorted(substring.brute(docs), key=str)
     kept = {r.doc_id: r.kept_text for r in substring.dedup(hard(spark).where("doc_id in (7, 14)")).collect()}
     assert kept == {7: "Short One", 14: "é è Ü ß 😀"}
 
 
+def test_substring_of_repeated_and_null_ids(spark):
+    """Many texts without id, which are one document; repeated rows; anchors with a crowd of fragments."""
+    import random
+
+    r = random.Random(5)
+    parts = [" ".join(f"q{r.randrange(10**6)}" for _ in range(24)) for _ in range(300)]
+    word = lambda n: " ".join(f"z{r.randrange(10**6)}" for _ in range(n))
+    data = [(None, f"{r.choice(parts)} {word(r.randrange(4))}") for _ in range(7000)]
+    data += [(7, data[0][1]), (7, data[0][1]), (7, f"{word(3)} {parts[1]}"), (8, f"{word(2)} {parts[1]} x"), (8, f"{word(2)} {parts[1]} x")]
+    common = word(30)
+    data += [(10_000 + i, f"{word(15)} {common} {word(15)}") for i in range(60)]
+    df = spark.createDataFrame(data, "doc_id int, text string").repartition(5)
+    want = sorted(substring.brute(data), key=str)
+    assert rows(substring.dedup(df, with_text=False)) == want
+    some = [x for x in data if x[0] is not None]
+    df = spark.createDataFrame(some, "doc_id int, text string").repartition(3)
+    for crowd in (3, 1):  # most anchors are crowds
+        assert rows(substring.dedup(df, with_text=False, crowded=crowd)) == sorted(substring.brute(some), key=str)
+    with pytest.raises(TypeError):
+        substring.dedup(df.withColumn("doc_id", mixing.F.col("doc_id").cast("string")))
+
+
 def test_decontaminate(spark):
     items = [(1, "W1 w2, w3 w4 w5 w6 w7 w8 w9 w10 w11"), (2, "short one"), (None, "x y"), (3, None), (4, "..."), (5, "short ONE"), (10, "é è ü ß")]
     table = spark.createDataFrame(items, "item_id bigint, text string")
