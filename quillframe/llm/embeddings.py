@@ -27,7 +27,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .components import components
+from .components import components, least_members
 from .shared import written
 
 COSINE, BITS, TABLES = 0.98, 16, 17
@@ -73,20 +73,6 @@ def _hash_rows(bits: int, tables: int):
     return run
 
 
-def _block_components(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-    """The least member of each item's component."""
-    label = np.arange(n)
-    while len(i):
-        least = np.minimum(label[i], label[j])
-        before = label.copy()
-        np.minimum.at(label, i, least)
-        np.minimum.at(label, j, least)
-        label = label[label]
-        if (label == before).all():
-            break
-    return label
-
-
 def _compare(threshold: float):
     def pairs(x: np.ndarray, y: np.ndarray, same: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         for a in range(0, len(x), 1024):
@@ -118,7 +104,7 @@ def _compare(threshold: float):
                 np.add.at(links, j, weight[i])
                 left.append(i)
                 right.append(j)
-        root = _block_components(len(sid), np.concatenate([*left, np.zeros(0, np.int64)]).astype(np.int64), np.concatenate([*right, np.zeros(0, np.int64)]).astype(np.int64))
+        root = least_members(len(sid), np.concatenate([*left, np.zeros(0, np.int64)]).astype(np.int64), np.concatenate([*right, np.zeros(0, np.int64)]).astype(np.int64))
         hit = links > 0
         return sid[hit], sid[root][hit], links[hit]
 

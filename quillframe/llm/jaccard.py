@@ -1,27 +1,35 @@
 """N-gram Jaccard join with set-relation skipping.
 
 Documents are sets of 5-word shingles; two link where 100 * intersection >= 80 * union. Sets that are equal are one
-entity from the start. Shingles are ordered by how frequent they are (levels of a sketch of fixed size over all
-documents), then by hash; linked sets share a shingle among their first fifth (Xiao et al., PPJoin), and the shorter set
-one among its first ninth. Inverted lists hold these shingles with set size and position.
-
-Skipping by position: within a list, sorted by size, a set meets only the block of sizes that can link; positions and
-a parity bitmap (a lower bound of the symmetric difference) rule out most of the rest before any set is fetched.
-Skipping by set relation: first every set of a list is held against one partner in question only, another one in each list. The
-verified links' components then settle the lists: sets whose similar neighbours put them in one component take each other's
-answers, and only pairs of different components meet in the second round. Links are exact; only the component is derived.
+entity from the start. Shingles are ordered by how frequent they are (levels of a sketch over all documents), then by hash; linked
+sets share a shingle among their first fifth (Xiao et al., PPJoin), and the shorter set one among its first ninth. Inverted lists
+hold these shingles with set size and position, in order of size and in blocks of ``BLOCK`` rows.
+
+Skipping by position: a set meets only the blocks, and in them only the sizes, that can link; positions and a parity bitmap (a
+lower bound of the symmetric difference) rule out most of the rest before any set is fetched.
+Skipping by set relation: first every set of a block is held against one partner in question only, another one in each list. The
+verified links make components, and sets of one component need not meet again. What is left of a list are the sets outside its
+main component, which meet the blocks of all others. Such a pair's answer is derived from that of the components' roots where it can be: from the
+roots' intersection, computed once, and how far each set is from its own root, follow an upper and a lower bound of the
+pair's intersection; only pairs between the bounds are compared as whole sets. Links are exact; only components are computed, so links
+within a component are neither listed nor counted.
+
+No list is held whole: a task sees a block, or a pair of blocks. A shingle that the sketch does not lift above the others is in at most
+2 / 2**18 of all places, so that its list is no more than a task's share among many tasks.
 
 Defined results: null and wordless texts are empty sets, linked with nothing; fewer than five words are one shingle; a row
-without id has itself as no component (null); rows that repeat are equal sets; other columns are ignored.
+without id has itself as no component (null); ids of any type with an order are kept as they are; rows that repeat are equal
+sets; other columns are ignored.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import _text as t
@@ -29,8 +37,9 @@ from .components import components
 from .shared import CELLS_BITS, gram_sketch, written
 
 SHINGLE, PERCENT = 5, 80
-#: Pairs that a worker looks at in one step.
-STEP_PAIRS = 1 << 17
+#: Rows of an inverted list that are looked at together, and pairs that a worker looks at in one step.
+BLOCK, STEP_PAIRS = 1024, 1 << 17
+LISTS = "token bigint, block int, sid bigint, n int, pos int"
 
 
 def shingle_sets(column: pa.Array, hasher: t.Hasher) -> Iterator[np.ndarray]:
@@ -73,7 +82,7 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     hasher = t.Hasher()
     for b in batches:
         sets = list(shingle_sets(b.column("text"), hasher))
-        yield pa.RecordBatch.from_arrays([b.column("doc"), pa.array([set_id(s) if len(s) else None for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([parity(s) if len(s) else None for s in sets], pa.binary())], names=["doc", "sid", "n", "bits"])
+        yield pa.RecordBatch.from_arrays([b.column("doc"), b.column("row"), pa.array([set_id(s) if len(s) else None for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([parity(s) if len(s) else None for s in sets], pa.binary())], names=["doc", "row", "sid", "n", "bits"])
 
 
 def _prefixes(levels: np.ndarray):
@@ -106,33 +115,59 @@ def _prefixes(levels: np.ndarray):
     return run
 
 
-def _lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows sorted by token, size and set: those that sizes and positions leave a partner in their list."""
-    held = [np.zeros(0, x) for x in (np.int64, np.int64, np.int32, np.int32)]
-
-    def settle(rows: list[np.ndarray]) -> list[np.ndarray]:
-        fresh = np.concatenate([[True], (rows[0][1:] != rows[0][:-1]) | (rows[1][1:] != rows[1][:-1])])
-        rows = [x[fresh] for x in rows]
-        x = dict(zip(("token", "sid", "n", "pos"), (c.astype(np.int64) for c in rows), strict=True))
-        many = np.zeros(len(rows[0]), bool)
-        for i, j in _pairs_in_question(x):
-            need = _needed(x["n"][i], x["n"][j])
-            ok = np.minimum(x["n"][i] - x["pos"][i], x["n"][j] - x["pos"][j]) >= need
-            many[i[ok]] = many[j[ok]] = True
-        return [c[many] for c in rows]
+def _lists(block: int):
+    """Of rows sorted by token, size and set, those that may have a partner in their list, with the number of their block: in a
+    list of one block, sizes and positions must leave one; in a longer one, the neighbours' sizes."""
 
-    def batch(rows: list[np.ndarray]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(x) for x in rows], names=["token", "sid", "n", "pos"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [np.zeros(0, x) for x in (np.int64, np.int64, np.int32, np.int32)]
+        before = 0  # rows of the held list that have gone on; the first held one then is only there as a neighbour
+
+        def settle(rows: list[np.ndarray], gone: int, more: bool) -> pa.RecordBatch:
+            """gone: rows of the first list that went before; more: the last row is a neighbour only."""
+            x = dict(zip(("token", "sid", "n", "pos"), (c.astype(np.int64) for c in rows), strict=True))
+            size = len(rows[0])
+            edge = np.flatnonzero(np.concatenate([[True], x["token"][1:] != x["token"][:-1]]))
+            length = np.diff(np.concatenate([edge, [size]]))
+            index = np.arange(size) - np.repeat(edge, length)
+            if gone:
+                index[: length[0]] += gone - 1
+            long = np.repeat(length > block, length)
+            if gone or more:
+                long[: length[0]] |= bool(gone)
+                long[size - length[-1] :] |= more
+            near = np.concatenate([(x["token"][1:] == x["token"][:-1]) & (100 * x["n"][:-1] >= PERCENT * x["n"][1:]), [False]])
+            many = long & (near | np.concatenate([[False], near[:-1]]))
+            short = np.flatnonzero(~long)
+            y = {k: v[short] for k, v in x.items()}
+            for i, j in _pairs_in_question(y) if len(short) else ():
+                need = _needed(y["n"][i], y["n"][j])
+                ok = np.minimum(y["n"][i] - y["pos"][i], y["n"][j] - y["pos"][j]) >= need
+                many[short[i[ok]]] = many[short[j[ok]]] = True
+            if gone:
+                many[0] = False
+            if more:
+                many[-1] = False
+            return pa.RecordBatch.from_arrays([pa.array(rows[0][many]), pa.array((index[many] // block).astype(np.int32)), *(pa.array(c[many]) for c in rows[1:])], names=["token", "block", "sid", "n", "pos"])
 
-    for b in batches:
-        if b.num_rows:
+        for b in batches:
+            if not b.num_rows:
+                continue
             rows = [np.concatenate([h, c.to_numpy()]) for h, c in zip(held, b.columns, strict=True)]
+            fresh = np.concatenate([[True], (rows[0][1:] != rows[0][:-1]) | (rows[1][1:] != rows[1][:-1])])
+            rows = [x[fresh] for x in rows]
             cut = int(np.searchsorted(rows[0], rows[0][-1]))
             if cut:
-                yield batch(settle([x[:cut] for x in rows]))
-            held = [x[cut:] for x in rows]
-    if len(held[0]):
-        yield batch(settle(held))
+                yield settle([x[:cut] for x in rows], before, False)
+                rows, before = [x[cut:] for x in rows], 0
+            if len(rows[0]) > 64 * block:  # a long list goes on; its last two rows stay, one of them as a neighbour
+                yield settle(rows, before, True)
+                before, rows = before + len(rows[0]) - 1 - (before > 0), [x[-2:] for x in rows]
+            held = rows
+        if len(held[0]):
+            yield settle(held, before, False)
+
+    return run
 
 
 def _can_link(x: dict, i: np.ndarray, j: np.ndarray) -> np.ndarray:
@@ -178,38 +213,60 @@ def _first_of_each(key: np.ndarray, order: np.ndarray) -> np.ndarray:
     return by[np.concatenate([[True], key[by][1:] != key[by][:-1]])] if len(by) else by
 
 
-def _meet(every: bool):
-    """Pairs in question within each list, of sets of different components: every one, or one partner for each row, chosen by a
-    hash, so that a list gives fewer pairs than it has rows and a group's many lists give different ones."""
-
-    def pairs(rows: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-        import pyarrow.compute as pc
-
-        rows = rows.combine_chunks()
-        component, token = rows.column("component").to_numpy(), rows.column("token").to_numpy()
-        edge = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
-        size = np.diff(np.concatenate([edge, [len(token)]]))
-        settled = np.repeat(np.minimum.reduceat(component, edge) == np.maximum.reduceat(component, edge), size)
-        rows = rows.filter(pa.array(~settled)).combine_chunks()
-        if not rows.num_rows:
-            return (np.zeros(0, np.int64),) * 2
-        x = {k: rows.column(k).to_numpy().astype(np.int64) for k in ("token", "sid", "component", "n", "pos")}
-        x["bytes"], x["bits"] = pc.binary_length(rows.column("bits")).to_numpy().astype(np.int64), rows.column("bits").combine_chunks()
-        found = []
-        for i, j in _pairs_in_question(x):
-            other = x["component"][i] != x["component"][j]
-            i, j = i[other], j[other]
-            ok = _can_link(x, i, j)
-            i, j = i[ok], j[ok]
-            if not every:
-                one = _first_of_each(j, t.mix((x["sid"][i] ^ x["token"][i]).view(t.U64)))
-                i, j = i[one], j[one]
-            found.append((i, j))
-        i, j = (np.concatenate(c) for c in zip(*found, strict=True)) if found else (np.zeros(0, np.int64),) * 2
-        if not every:
-            one = _first_of_each(j, t.mix((x["sid"][i] ^ x["token"][i]).view(t.U64)))
-            i, j = i[one], j[one]
-        return x["sid"][i], x["sid"][j]
+def _bitmaps(rows: pa.Table, x: dict) -> None:
+    x["bytes"], x["bits"] = pc.binary_length(rows.column("bits")).to_numpy().astype(np.int64), rows.column("bits").combine_chunks()
+
+
+def _one_each(rows: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """In each block, a partner in question for each row, chosen by a hash, so that a group's many lists give different ones."""
+    x = {k: rows.column(k).to_numpy().astype(np.int64) for k in ("token", "block", "sid", "n", "pos")}
+    _bitmaps(rows, x)
+    x["token"] = np.cumsum(np.concatenate([[0], (x["token"][1:] != x["token"][:-1]) | (x["block"][1:] != x["block"][:-1])]))
+    token = rows.column("token").to_numpy()
+    choice = lambda i, j: _first_of_each(j, t.mix((x["sid"][i] ^ token[i]).view(t.U64)))
+    found = [np.zeros((2, 0), np.int64)]
+    for i, j in _pairs_in_question(x):
+        ok = _can_link(x, i, j)
+        i, j = i[ok], j[ok]
+        found.append(np.stack([i, j])[:, choice(i, j)])
+    i, j = np.concatenate(found, 1)
+    one = choice(i, j)
+    return x["sid"][i[one]], x["sid"][j[one]]
+
+
+def _all_across(rows: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """In each pair of blocks, all pairs in question of a set outside the list's main component (asks) and one of another component."""
+    x = {k: rows.column(k).to_numpy().astype(np.int64) for k in ("sid", "component", "n", "pos")}
+    _bitmaps(rows, x)
+    asks, minor = rows.column("asks").to_numpy(zero_copy_only=False), rows.column("minor").to_numpy(zero_copy_only=False)
+    keys = [rows.column(k).to_numpy() for k in ("token", "block", "part")]
+    new = np.concatenate([[True], (keys[0][1:] != keys[0][:-1]) | (keys[1][1:] != keys[1][:-1]) | (keys[2][1:] != keys[2][:-1])])
+    cell = (np.cumsum(new) - 1).astype(np.int64) << 40
+    todo, others = np.flatnonzero(asks), np.flatnonzero(~asks)
+    place = cell[others] + x["n"][others]  # rows come sorted by size in each cell
+    first = np.searchsorted(place, cell[todo] - (-PERCENT * x["n"][todo]) // 100)
+    length = np.searchsorted(place, cell[todo] + 100 * x["n"][todo] // PERCENT, "right") - first
+    first, todo, length = first[length > 0], todo[length > 0], length[length > 0]
+    total, found = np.cumsum(length), [np.zeros((2, 0), np.int64)]
+    at = 0
+    while at < len(todo):
+        k = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + STEP_PAIRS, "right")))
+        i = np.repeat(todo[at:k], length[at:k])
+        j = others[np.arange(len(i)) - np.repeat(np.cumsum(length[at:k]) - length[at:k], length[at:k]) + np.repeat(first[at:k], length[at:k])]
+        at = k
+        ok = (x["component"][i] != x["component"][j]) & (~minor[j] | (x["sid"][i] < x["sid"][j]))  # two outside ask each other: once will do
+        i, j = i[ok], j[ok]
+        turn = (x["n"][i] > x["n"][j]) | ((x["n"][i] == x["n"][j]) & (x["pos"][i] > x["pos"][j]))
+        i, j = np.where(turn, j, i), np.where(turn, i, j)
+        ok = x["pos"][i] <= x["n"][i] - _needed(x["n"][i], x["n"][i])  # the shorter set has the shingle among its first ninth
+        i, j = i[ok], j[ok]
+        found.append(np.stack([i, j])[:, _can_link(x, i, j)])
+    i, j = np.concatenate(found, 1)
+    return x["sid"][i], x["sid"][j]
+
+
+def _by_cells(pairs: Callable[[pa.Table], tuple[np.ndarray, np.ndarray]], names: tuple[str, ...]):
+    """Pairs (a, b) of rows that come sorted by the names: whole cells at a time."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def out(found: list[tuple]) -> pa.RecordBatch:
@@ -222,10 +279,12 @@ def _meet(every: bool):
         for b in batches:
             if not b.num_rows:
                 continue
-            token = b.column("token").to_numpy()
-            cut = int(np.searchsorted(token, token[-1]))  # where the last list of the batch begins
-            if sum(x.num_rows for x in held) + cut >= 1 << 15 and (cut or held[-1].column("token")[-1].as_py() != token[0]):
-                found.append(pairs(pa.Table.from_batches([*held, b.slice(0, cut)])))
+            keys = [b.column(k).to_numpy() for k in names]
+            same = np.logical_and.reduce([k == k[-1] for k in keys])
+            cut = int(np.argmax(same))  # where the last cell of the batch begins
+            whole = cut or (held and any(held[-1].column(k)[-1].as_py() != b.column(k)[0].as_py() for k in names))
+            if whole and sum(x.num_rows for x in held) + cut >= 1 << 15:
+                found.append(pairs(pa.Table.from_batches([*held, b.slice(0, cut)]).combine_chunks()))
                 held, b = [], b.slice(cut)
             held.append(b)
             if sum(len(x[0]) for x in found) >= 1 << 18:
@@ -234,7 +293,7 @@ def _meet(every: bool):
                     yield out(found)
                     found = []
         if held:
-            found.append(pairs(pa.Table.from_batches(held)))
+            found.append(pairs(pa.Table.from_batches(held).combine_chunks()))
         yield out(found)
 
     return run
@@ -251,50 +310,95 @@ def _match_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(keep, pa.int64()), pa.array(sets, pa.binary())], names=["sid", "shingles"])
 
 
-def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _intersect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        ok = []
+        n, m, both = [], [], []
         for x, y in zip(b.column("x"), b.column("y"), strict=True):
             x, y = (np.frombuffer(s.as_buffer(), t.U64) for s in (x, y))
             place = np.searchsorted(y, x)
-            both = int((y[np.minimum(place, len(y) - 1)] == x).sum())
-            ok.append(100 * both >= PERCENT * (len(x) + len(y) - both))
-        yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b")], names=["a", "b"]).filter(pa.array(ok, pa.bool_()))
+            both.append(int((y[np.minimum(place, len(y) - 1)] == x).sum()))
+            n.append(len(x))
+            m.append(len(y))
+        yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b"), *(pa.array(v, pa.int64()) for v in (n, m, both))], names=["a", "b", "n", "m", "both"])
 
 
-def _links(pairs: DataFrame, owners: DataFrame, own: DataFrame) -> DataFrame:
-    """The pairs that do link, by their whole sets."""
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("sid")).distinct()
-    texts = own.join(ends.join(owners.select("sid", "doc"), "sid"), "doc").select("sid", "text")
-    sets = written(texts.mapInArrow(_match_sets, "sid bigint, shingles binary").dropDuplicates(["sid"]))
+def _intersections(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """a, b, their sizes n and m, and how many shingles both have, by their whole sets."""
     x, y = sets.select(F.col("sid").alias("a"), F.col("shingles").alias("x")), sets.select(F.col("sid").alias("b"), F.col("shingles").alias("y"))
-    return written(pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(_verify, "a bigint, b bigint"))
+    return pairs.select("a", "b").join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(_intersect, "a bigint, b bigint, n bigint, m bigint, both bigint")
+
+
+def _linked(n: Column, m: Column, both: Column) -> Column:
+    return 100 * both >= PERCENT * (n + m - both)
+
 
+def _across(pairs: DataFrame, known: DataFrame, sets: DataFrame) -> DataFrame:
+    """a, b of the pairs that link, from the answers of their components' roots where the bounds decide, else by their whole sets.
 
-def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    A set x that shares s(x) shingles with its root r(x) holds |x| - s(x) others, and lacks |r(x)| - s(x) of the root's. So
+    the roots' intersection plus what x and y hold beside is the most that x and y can share, and less what they lack the least.
+    """
+    sizes = known.select("sid", "component", "n")
+    roots = written(_intersections(sizes.where("sid <> component").select(F.col("component").alias("a"), F.col("sid").alias("b")), sets))
+    own = sizes.join(roots.select(F.col("b").alias("sid"), F.col("n").alias("root_n"), "both"), "sid", "left")
+    own = written(own.select("sid", "component", F.col("n").cast("bigint").alias("n"), F.coalesce("root_n", "n").cast("bigint").alias("root_n"), F.coalesce("both", "n").cast("bigint").alias("own")))
+    end = lambda k: own.select(F.col("sid").alias(k), *[F.col(c).alias(f"{c}_{k}") for c in ("component", "n", "root_n", "own")])
+    pairs = written(pairs.join(end("a"), "a").join(end("b"), "b"))
+    met = pairs.select(F.least("component_a", "component_b").alias("a"), F.greatest("component_a", "component_b").alias("b")).distinct()
+    met = _intersections(met, sets).select(F.col("a").alias("x"), F.col("b").alias("y"), F.col("both").alias("roots"))
+    told = pairs.join(met, (F.least("component_a", "component_b") == F.col("x")) & (F.greatest("component_a", "component_b") == F.col("y")))
+    n, m = F.col("n_a"), F.col("n_b")
+    most = F.least(n, m, F.col("roots") + n - F.col("own_a") + m - F.col("own_b"))
+    least = F.greatest(F.lit(0), F.col("roots") - (F.col("root_n_a") - F.col("own_a")) - (F.col("root_n_b") - F.col("own_b")))
+    told = written(told.select("a", "b", F.when(_linked(n, m, least), 1).when(_linked(n, m, most), 0).otherwise(-1).alias("derived")))
+    rest = _intersections(told.where("derived = 0"), sets).where(_linked(F.col("n"), F.col("m"), F.col("both")))
+    return told.where("derived = 1").select("a", "b").unionByName(rest.select("a", "b"))
+
+
+def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", block: int = BLOCK) -> DataFrame:
     """doc_id, n_shingles, component_id of every row."""
-    own = docs.select(F.col(doc_id).cast("bigint").alias("doc"), F.col(text).alias("text"))
-    sets = written(own.mapInArrow(_sets, "doc bigint, sid bigint, n bigint, bits binary"))
-    owners = written(sets.where("sid is not null and doc is not null").groupBy("sid").agg(F.min("doc").alias("doc"), F.first("bits").alias("bits")))
+    own = docs.select(F.col(doc_id).alias("doc"), F.col(text).alias("text"), F.xxhash64(doc_id, text).alias("row"))
+    rows = written(own.mapInArrow(_sets, f"doc {dict(own.dtypes)['doc']}, row bigint, sid bigint, n bigint, bits binary"))
+    owners = rows.where("sid is not null and doc is not null").groupBy("sid").agg(F.min(F.struct("doc", "row")).alias("least"), F.first("bits").alias("bits"), F.first("n").alias("n"))
+    owners = written(owners.select("sid", "least.doc", "least.row", "bits", "n"))
     counts = gram_sketch(own, "text", SHINGLE, True)
     levels = np.clip(np.floor(np.log2(np.maximum(counts / max(counts.mean(), 1e-9), 1))), 0, 30).astype(np.uint8)
-    rows = own.where("doc is not null and text is not null").mapInArrow(_prefixes(levels), "token bigint, sid bigint, n int, pos int")
-    lists = written(rows.repartition("token").sortWithinPartitions("token", "n", "sid").mapInArrow(_lists, "token bigint, sid bigint, n int, pos int"))
-
-    def meet(known: DataFrame, every: bool) -> DataFrame:
-        full = lists.join(known, "sid").select("token", "sid", "n", "pos", "bits", "component")
-        return written(full.repartition("token").sortWithinPartitions("token", "n", "sid").mapInArrow(_meet(every), "a bigint, b bigint").distinct())
-
+    prefixes = own.where("doc is not null and text is not null").select("text").mapInArrow(_prefixes(levels), "token bigint, sid bigint, n int, pos int")
+    lists = written(prefixes.repartition("token").sortWithinPartitions("token", "n", "sid").mapInArrow(_lists(block), LISTS))
+    # the sets of all that are in lists, once for both rounds
+    listed = lists.select("sid").distinct().join(owners.select("sid", "row"), "sid")
+    sets = written(own.join(listed, "row").select("sid", "text").mapInArrow(_match_sets, "sid bigint, shingles binary").dropDuplicates(["sid"]))
     bits = owners.select("sid", "bits")
-    first = _links(meet(bits.withColumn("component", F.col("sid")), False), owners, own)
-    so_far = components(first).select(F.col("node").alias("sid"), "component")
-    known = bits.join(so_far, "sid", "left").select("sid", "bits", F.coalesce("component", "sid").alias("component"))
-    second = _links(meet(known, True), owners, own)
-    of = components(first.unionByName(second)).select(F.col("node").alias("sid"), F.col("component").alias("cluster"))
-    owned = owners.select("sid", "doc").join(of, "sid", "left").select("sid", "doc", F.coalesce("cluster", "sid").alias("cluster"))
+    full = lists.join(bits, "sid").select("token", "block", "sid", "n", "pos", "bits")
+    pairs = full.repartition("token", "block").sortWithinPartitions("token", "block", "n", "sid").mapInArrow(_by_cells(_one_each, ("token", "block")), "a bigint, b bigint").distinct()
+    first = written(_intersections(pairs, sets).where(_linked(F.col("n"), F.col("m"), F.col("both"))).select("a", "b"))
+    so_far = written(components(first).select(F.col("node").alias("sid"), "component"))
+    known = owners.select("sid", "n").join(so_far, "sid", "left").select("sid", "n", F.coalesce("component", "sid").alias("component"))
+    second = written(_across(_second_pairs(lists, known.select("sid", "component"), bits, block), known.join(listed.select("sid"), "sid", "left_semi"), sets))
+    # components of components: few edges are left
+    node = lambda k: known.select(F.col("sid").alias(k), F.col("component").alias(f"component_{k}"))
+    joined = components(second.join(node("a"), "a").join(node("b"), "b").select(F.col("component_a").alias("a"), F.col("component_b").alias("b")))
+    of = known.join(joined.select(F.col("node").alias("component"), F.col("component").alias("cluster")), "component", "left").select("sid", F.coalesce("cluster", "component").alias("cluster"))
+    owned = owners.select("sid", "doc").join(of, "sid")
     least = owned.groupBy("cluster").agg(F.min("doc").alias("component_id"))
     named = owned.join(least, "cluster").select("sid", "component_id")
-    return sets.select("doc", "sid", "n").join(named, "sid", "left").select(F.col("doc").alias("doc_id"), F.col("n").alias("n_shingles"), F.when(F.col("doc").isNotNull(), F.coalesce("component_id", "doc")).alias("component_id"))
+    return rows.select("doc", "sid", "n").join(named, "sid", "left").select(F.col("doc").alias("doc_id"), F.col("n").alias("n_shingles"), F.when(F.col("doc").isNotNull(), F.coalesce("component_id", "doc")).alias("component_id"))
+
+
+def _second_pairs(lists: DataFrame, known: DataFrame, bits: DataFrame, block: int) -> DataFrame:
+    """a, b: all pairs in question of different components, of lists that hold several."""
+    placed = lists.join(known, "sid")
+    kinds = placed.groupBy("token", "component").agg(F.count("*").alias("n"))
+    main = kinds.groupBy("token").agg(F.max(F.struct("n", "component")).alias("top"), F.sum("n").alias("n"), F.count("*").alias("kinds")).where("kinds > 1")
+    main = main.select("token", F.col("top.component").alias("main"), F.ceil((F.col("n") - F.col("top.n")) / block).cast("int").alias("parts"))
+    mixed = written(placed.join(main, "token").withColumn("minor", F.col("component") != F.col("main")).drop("main"))
+    ranges = mixed.groupBy("token", "block").agg(F.min("n").alias("low"), F.max("n").alias("high"))  # blocks whose sizes cannot link are skipped
+    asking = mixed.where("minor").drop("block").join(ranges, "token").where((100 * F.col("n") >= PERCENT * F.col("low")) & (100 * F.col("high") >= PERCENT * F.col("n")))
+    asking = asking.withColumn("part", F.pmod(F.xxhash64("sid"), "parts").cast("int")).withColumn("asks", F.lit(True))
+    asked = mixed.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).withColumn("asks", F.lit(False))
+    columns = ["token", "block", "part", "asks", "minor", "sid", "component", "n", "pos"]
+    cells = asking.select(*columns).unionByName(asked.select(*columns)).join(bits, "sid").select(*columns, "bits")
+    return written(cells.repartition("token", "block", "part").sortWithinPartitions("token", "block", "part", "n", "sid").mapInArrow(_by_cells(_all_across, ("token", "block", "part")), "a bigint, b bigint").distinct())
 
 
 def brute(docs: list[tuple]) -> list[tuple]:

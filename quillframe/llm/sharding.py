@@ -4,11 +4,12 @@ Documents are dealt by a hash to blocks, and blocks stand on the old shards' byt
 (``blocks`` rows, a parameter). A flow from the old shards to the new ones, free where a shard keeps its bytes and at a cost of
 one a byte elsewhere, tells how much goes where; cutting the byte lines accordingly turns flows into transfers of runs of blocks,
 and of documents within a block where a cut falls into it. To make sizes near equal in spite of a few very long documents, these
-are dealt first; the rest then flows into what capacity they really left. ``reshard`` does this to folders of rows: it reads where
+are dealt first; the rest then flows into what capacity they really left. The greatest documents of all (``HEADS`` a shard, so a bounded number)
+are dealt one by one on the driver, longest first: each stays where it is if there is room, else it goes where there is most. ``reshard`` does this to folders of rows: it reads where
 each row is now, and replaces the folders of those shards that a row leaves or enters.
 
 Law ``bytes``: shard sizes (UTF-8 bytes of the text plus 8 a row) differ from each other by no more than a few of the small
-documents. Defined results: a null text has no bytes; null ids, ties and repeated rows are placed like others, by id, then
+documents, and by a few per cent where there are only a few hundred documents. Defined results: a null text has no bytes; null ids, ties and repeated rows are placed like others, by id, then
 checksum, then size; an empty table gives no rows; other columns are ignored by ``assign``. In folders a row is known by its file and its
 place there, so null and repeated ids are moved like others; a row in no shard yet (null) is free to go to any.
 """
@@ -17,15 +18,18 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Sequence
-from itertools import pairwise
+from itertools import groupby, pairwise
+from math import log2
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 
 from .shared import folder, written
 
 SHARDS, OLD_SHARDS, BLOCKS, ROW_BYTES = 24, 16, 6144, 8
+#: So many documents for each shard, the greatest ones, are dealt one by one.
+HEADS = 64
 #: The folders' column and the order in a shard, and what a row is known by: names that no input has.
 SHARD, SLOT, PLACE = "__shard", "__slot", ("__file", "__row")
 
@@ -117,6 +121,29 @@ def _dealt(rows: DataFrame, flows: list[list[int]], starts: dict[int, int], bloc
     return placed.withColumn("shard", _by_cuts(F.col("middle"), flows).cast("int")).drop("upto", "start", "middle")
 
 
+def _heads(rows: DataFrame, capacity: list[int], was: Column, most: int) -> tuple[DataFrame | None, list[int], int]:
+    """(id, shard) of the greatest documents, the room that they leave, and the size up to which documents are not among them."""
+    top = rows.select("size").orderBy(F.desc("size")).limit(most + 1).collect()
+    limit = top[most].size if len(top) > most else -1  # ties at the limit are left out, so that there are never more than most
+    found = rows.where(F.col("size") > limit).select("id", "size", was.alias("was")).collect()
+    room, to = list(capacity), []
+    def put(r: Row, j: int) -> None:
+        room[j] -= r.size
+        to.append((r.id, j))
+
+    # among documents of about one size those that stay go first, so that none has to leave for one that comes
+    for _, like in groupby(sorted(found, key=lambda r: (-r.size, r.id)), key=lambda r: int(4 * log2(r.size))):
+        leave = []
+        for r in like:
+            if r.was is not None and r.was < len(room) and room[r.was] >= r.size:
+                put(r, r.was)
+            else:
+                leave.append(r)
+        for r in leave:
+            put(r, max(range(len(room)), key=lambda j: (room[j], -j)))
+    return (rows.sparkSession.createDataFrame(to, "id bigint, shard int") if to else None), room, limit
+
+
 def _starts(sizes: dict[int, int]) -> dict[int, int]:
     keys = sorted(sizes)
     out, at = {}, 0
@@ -146,7 +173,7 @@ def _block(old: Column, old_shards: int, each: int) -> Column:
     return (F.coalesce(old, F.lit(old_shards - 1)) * each + F.pmod(F.xxhash64("doc_id", "text_crc32"), F.lit(each))).cast("int")
 
 
-def assign(docs: DataFrame, shards: int = SHARDS, old_shards: int = OLD_SHARDS, blocks: int = BLOCKS, doc_id: str = "doc_id", text: str = "text", old: str | None = None, carry: Sequence[str] = ()) -> DataFrame:
+def assign(docs: DataFrame, shards: int = SHARDS, old_shards: int = OLD_SHARDS, blocks: int = BLOCKS, doc_id: str = "doc_id", text: str = "text", old: str | None = None, carry: Sequence[str] = (), heads_each: int = HEADS) -> DataFrame:
     """doc_id, size, text_crc32, block, old_shard, shard, slot (gapless from 0 in its shard) of every row, and the columns to carry.
 
     ``old`` is the column of the shard that a row is in, from 0 or null; without it the hash deals the rows to ``old_shards``.
@@ -159,7 +186,13 @@ def assign(docs: DataFrame, shards: int = SHARDS, old_shards: int = OLD_SHARDS,
         block = _block(F.col("old_shard"), old_shards, each)
     else:
         block = F.pmod(F.xxhash64("doc_id", "text_crc32"), F.lit(blocks)).cast("int")
-    rows = written(rows.withColumn("block", block))
+    rows = written(rows.withColumn("block", block).withColumn("id", F.monotonically_increasing_id()))
+    was = F.col("old_shard") if old else F.floor(F.col("block") * old_shards / blocks).cast("int")
+    total = rows.agg(F.sum("size")).first()[0] or 0
+    capacity = equal_capacities(total, shards)
+    heads, capacity, most = _heads(rows, capacity, was, heads_each * shards)
+    dealt = rows.where("size < 0").withColumn("shard", F.lit(0)) if heads is None else rows.where(F.col("size") > most).join(F.broadcast(heads), "id")
+    rows, capacity = rows.where(F.col("size") <= most), [max(0, c) for c in capacity]
     kinds = rows.groupBy(F.floor(F.log2("size")).cast("int").alias("k")).agg(F.sum("size").alias("n")).orderBy("k").collect()
     total, upto, limit = sum(r.n for r in kinds), 0, 0
     for r in kinds:  # the small ones hold a quarter of the bytes
@@ -167,7 +200,6 @@ def assign(docs: DataFrame, shards: int = SHARDS, old_shards: int = OLD_SHARDS,
         limit = 1 << (r.k + 1)
         if 4 * upto >= total:
             break
-    capacity = equal_capacities(total, shards)
     large, small = rows.where(F.col("size") >= limit), rows.where(F.col("size") < limit)
 
     def sums(part: DataFrame) -> dict[int, int]:
@@ -189,14 +221,13 @@ def assign(docs: DataFrame, shards: int = SHARDS, old_shards: int = OLD_SHARDS,
     taken = {r.shard: r.n for r in first.groupBy("shard").agg(F.sum("size").alias("n")).collect()}
     sizes = sums(small)
     second = _dealt(small, flows(sizes, [max(0, c - taken.get(j, 0)) for j, c in enumerate(capacity)]), _starts(sizes), blocks)
-    both = written(first.unionByName(second))
+    both = written(first.unionByName(second).unionByName(dealt.select(*first.columns)).drop("id"))
     counts = both.groupBy("shard", "block").agg(F.count("*").alias("n"))
     before = F.sum("n").over(Window.partitionBy("shard").orderBy("block").rowsBetween(Window.unboundedPreceding, -1))
     offsets = counts.select("shard", "block", F.coalesce(before, F.lit(0)).alias("offset"))  # blocks plus cuts rows
     number = F.row_number().over(Window.partitionBy("block", "shard").orderBy("doc_id", "text_crc32", "size"))
     out = both.withColumn("number", number).join(F.broadcast(offsets), ["shard", "block"])
-    was = F.col("old_shard") if old else F.floor(F.col("block") * old_shards / blocks).cast("int").alias("old_shard")
-    return out.select("doc_id", "size", "text_crc32", "block", was, "shard", (F.col("offset") + F.col("number") - 1).alias("slot"), *carry)
+    return out.select("doc_id", "size", "text_crc32", "block", was.alias("old_shard"), "shard", (F.col("offset") + F.col("number") - 1).alias("slot"), *carry)
 
 
 def layout(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
