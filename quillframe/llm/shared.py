@@ -51,8 +51,9 @@ def tables_written() -> int:
     return len(_WRITTEN)
 
 
-def release(spark: SparkSession, but: int = 0) -> None:
-    """Drops the tables of ``written`` but the first ones: for callers who have stored what they made of them since."""
+def release(spark: SparkSession, but: int = 0, last: bool = False) -> None:
+    """Drops the tables of ``written`` but the first ones, and but the last where that is what was made of them."""
+    kept = [_WRITTEN.pop()] if last and len(_WRITTEN) > but else []
     while len(_WRITTEN) > but:
         path = _WRITTEN.pop()
         try:
@@ -60,6 +61,7 @@ def release(spark: SparkSession, but: int = 0) -> None:
             p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
         except Exception:  # noqa: BLE001  the session may have ended already
             return
+    _WRITTEN.extend(kept)
 
 
 def shipped(spark: SparkSession, value: object) -> Callable[[], object]:
