@@ -5,20 +5,19 @@ Each stage takes (spark, docs, sf_dir) and works on all that its predecessor kep
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillframe.llm import decontaminate, jaccard, mixing, sharding
 from quillframe.llm import toxicity as toxic
-from quillframe.llm.shared import release, shared_dir, tables_written, written
+from quillframe.llm.mixing import free_name
+from quillframe.llm.shared import release, tables_written, written
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents scored 0.5 or more go."""
-    model = toxic.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return toxic.scored(docs, model, name="__score").where("__score < 0.5").select(*docs.columns)
+    """Documents scored 0.5 or more go. Without any labelled document nothing is known to be toxic, and all stay."""
+    model, score = toxic.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")), free_name("__score", docs.columns)
+    return toxic.scored(docs, model, name=score).where(F.col(score) < 0.5).select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -28,11 +27,12 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     none of their group has an id (then one does); of repeated rows one stays; of two texts under one id only that goes which
     is a near copy of another row that stays. Texts without any word are copies of nothing and all stay.
     """
-    rows = written(docs.withColumn("__row", F.monotonically_increasing_id()))
-    groups = jaccard.near_duplicates(rows, "__row").select(F.col("doc_id").alias("__row"), "component_id")
-    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "__text", "__row"))
-    kept = rows.select("__row", "doc_id", F.xxhash64("text").alias("__text")).join(groups, "__row").groupBy("component_id").agg(first.alias("first")).select("first.__row")
-    return rows.join(kept, "__row", "left_semi").select(*docs.columns)
+    row = free_name("__row", docs.columns)
+    rows = written(docs.withColumn(row, F.monotonically_increasing_id()))
+    groups = jaccard.near_duplicates(rows.select(row, "text"), row).select(F.col("doc_id").alias(row), "component_id")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text", F.col(row).alias("row")))
+    kept = rows.select(row, "doc_id", F.xxhash64("text").alias("text")).join(groups, row).groupBy("component_id").agg(first.alias("first")).select(F.col("first.row").alias(row))
+    return rows.join(kept, row, "left_semi").select(*docs.columns)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -55,11 +55,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out, docs = None, spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES:
-        path = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}-{name}"
-        before = tables_written()
-        stage(spark, docs if out is None else out, sf_dir).write.parquet(path)
-        release(spark, before)
-        out = spark.read.parquet(path)
+    """The last stage's rows. A stage's table goes when the next one's is written, the last one when the driver ends."""
+    out = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    start = tables_written()
+    for _, stage in STAGES:
+        out = written(stage(spark, out, sf_dir))
+        release(spark, start, last=True)
     return out
