@@ -630,8 +630,30 @@ def test_pipeline_near_duplicates_by_row(spark):
         (2, third, "t"), (3, third + " x", "t"), (3, "a clean text under the same id as a copy", "t"),  # only the copy of 2 goes
         (4, "", "e"), (None, None, "e"),
     ]
-    df = spark.createDataFrame(data, "doc_id bigint, text string, source string")
+    df = spark.createDataFrame([(*x, k) for k, x in enumerate(data)], "doc_id bigint, text string, source string, __row int").withColumn("component_id", mixing.F.lit("c"))
     got = dict(corpus_pipeline.STAGES)["near_duplicates"](spark, df, SF)
     kept = sorted(((r.source, r.doc_id, r.text) for r in got.collect()), key=str)
     assert got.columns == df.columns and [k for k in kept if k[0] in "et"] == [("e", 4, ""), ("e", None, None), ("t", 2, third), ("t", 3, data[8][1])]
     assert [k for k in kept if k[0] == "r"] == [("r", 1, other)] and [k[1] for k in kept if k[0] == "n"] == [None]
+
+
+def test_pipeline_on_hard_tables(spark, tmp_path):
+    """No labels, no rows, repeated and null ids, columns whose names the stages use: all but the last give the columns back."""
+    import os
+
+    F = mixing.F
+    docs = hard(spark).unionByName(hard(spark)).select("doc_id", F.col("text"), F.lit("en").alias("lang"), "source", F.length("text").alias("n_chars"), *[F.lit(k).alias(k) for k in ("__score", "__row", "__cell", "__probability", "row", "key", "spans", "n_words")])
+    read(spark, "benchmark").write.parquet(str(tmp_path / "benchmark.parquet"))
+    spark.createDataFrame([], "doc_id bigint, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    stages = dict(corpus_pipeline.STAGES)
+    for table in (docs, docs.limit(0)):
+        for name in ("toxicity", "near_duplicates", "decontamination", "mixing"):
+            got = stages[name](spark, table, str(tmp_path))
+            assert got.columns == docs.columns and all(r["__cell"] == "__cell" for r in got.collect())
+        assert stages["toxicity"](spark, table, str(tmp_path)).count() == table.count()  # nothing is known to be toxic
+        assert stages["sharding"](spark, table.select("doc_id", "text"), str(tmp_path)).count() == table.count()
+    from quillframe.llm import shared
+
+    before = shared.tables_written()
+    out = corpus_pipeline.run(spark, SF)
+    assert out.count() and shared.tables_written() == before + 1 and not [x for x in shared._WRITTEN[before:-1] if os.path.exists(x)]
