@@ -39,6 +39,8 @@ from .shared import CELLS_BITS, gram_sketch, written
 SHINGLE, PERCENT = 5, 80
 #: Rows of an inverted list that are looked at together, and pairs that a worker looks at in one step.
 BLOCK, STEP_PAIRS = 1024, 1 << 17
+#: Bits of a set's bitmap at most: it goes with each of its rows in the lists.
+MOST_BITS = 8192
 LISTS = "token bigint, block int, sid bigint, n int, pos int"
 
 
@@ -68,8 +70,8 @@ def set_id(s: np.ndarray) -> int:
 
 
 def parity(s: np.ndarray) -> bytes:
-    """A bitmap of at least two bits a shingle, a power of two; two bitmaps differ in no more bits than their sets in members."""
-    size = max(256, 1 << int(2 * len(s) - 1).bit_length())
+    """A bitmap of two bits a shingle or more, a power of two to MOST_BITS; two bitmaps differ in no more bits than their sets in members."""
+    size = min(MOST_BITS, max(256, 1 << int(2 * len(s) - 1).bit_length()))
     return np.packbits((np.bincount((s >> t.U64(24)).astype(np.int64) & (size - 1), minlength=size) & 1).astype(bool), bitorder="little").tobytes()
 
 
@@ -338,7 +340,10 @@ def _across(pairs: DataFrame, known: DataFrame, sets: DataFrame) -> DataFrame:
     A set x that shares s(x) shingles with its root r(x) holds |x| - s(x) others, and lacks |r(x)| - s(x) of the root's. So
     the roots' intersection plus what x and y hold beside is the most that x and y can share, and less what they lack the least.
     """
-    sizes = known.select("sid", "component", "n")
+    sizes, end = known.select("sid", "component", "n"), lambda k: known.select(F.col("sid").alias(k), F.col("component").alias(f"component_{k}"))
+    asked = pairs.join(end("a"), "a").join(end("b"), "b").select(F.explode(F.array("a", "b", "component_a", "component_b")).alias("sid"))
+    ends = written(asked.distinct())
+    sizes, sets = sizes.join(ends, "sid", "left_semi"), written(sets.join(ends, "sid", "left_semi"))  # of what little the pairs ask for
     roots = written(_intersections(sizes.where("sid <> component").select(F.col("component").alias("a"), F.col("sid").alias("b")), sets))
     own = sizes.join(roots.select(F.col("b").alias("sid"), F.col("n").alias("root_n"), "both"), "sid", "left")
     own = written(own.select("sid", "component", F.col("n").cast("bigint").alias("n"), F.coalesce("root_n", "n").cast("bigint").alias("root_n"), F.coalesce("both", "n").cast("bigint").alias("own")))
@@ -366,7 +371,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     prefixes = own.where("doc is not null and text is not null").select("text").mapInArrow(_prefixes(levels), "token bigint, sid bigint, n int, pos int")
     lists = written(prefixes.repartition("token").sortWithinPartitions("token", "n", "sid").mapInArrow(_lists(block), LISTS))
     # the sets of all that are in lists, once for both rounds
-    listed = lists.select("sid").distinct().join(owners.select("sid", "row"), "sid")
+    listed = written(lists.select("sid").distinct().join(owners.select("sid", "row"), "sid"))
     sets = written(own.join(listed, "row").select("sid", "text").mapInArrow(_match_sets, "sid bigint, shingles binary").dropDuplicates(["sid"]))
     bits = owners.select("sid", "bits")
     full = lists.join(bits, "sid").select("token", "block", "sid", "n", "pos", "bits")
