@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 from functools import reduce
 
@@ -42,8 +43,9 @@ def null_tokens(c: Column, tokens: Sequence[str]) -> Column:
 def parse_int(c: Column, kind: str = "int", blanks: bool = False) -> Column:
     low, high, out = INT_BOUNDS[kind]
     text = F.trim(c) if blanks else c
-    value = F.when(text.rlike(r"^[+-]?[0-9]+$"), text.try_cast("decimal(38,0)"))
-    return F.when((value >= F.lit(low).cast("decimal(38,0)")) & (value <= F.lit(high).cast("decimal(38,0)")), value.cast(out))
+    wide = "decimal(38,0)" if kind == "ulong" else "bigint"  # whole numbers of 64 bits need no decimal
+    value = F.when(text.rlike(r"^[+-]?[0-9]+$"), text.try_cast(wide))
+    return value if kind == "long" else F.when(value.between(F.lit(low).cast(wide), F.lit(high).cast(wide)), value.cast(out))
 
 
 def _plain_number(c: Column, group: str, point: str) -> Column:
@@ -76,12 +78,28 @@ def java_format(fmt: str) -> str:
     return fmt
 
 
+_SHAPES = (("yyyy", "[0-9]{4}"), ("MMM", "[A-Za-z]{3}"), ("SSS", "[0-9]{3}"), ("MM", "[0-9]{2}"), ("dd", "[0-9]{2}"), ("HH", "[0-9]{2}"), ("mm", "[0-9]{2}"), ("ss", "[0-9]{2}"), ("M", "[0-9]{1,2}"), ("d", "[0-9]{1,2}"))
+
+
+def _shape(fmt: str) -> str:
+    """A pattern of what a date pattern of these parts can match, so that no text is tried in vain: a failed try is dear."""
+    out, at = "^", 0
+    while at < len(fmt):
+        part, shape = next(((p, r) for p, r in _SHAPES if fmt.startswith(p, at)), (fmt[at], "" if fmt[at] == "'" else re.escape(fmt[at])))
+        out, at = out + shape, at + len(part)
+    return out + "$"
+
+
+def _try_formats(c: Column, formats: Sequence[str], kind: str) -> Column:
+    return F.coalesce(*[F.when(c.rlike(_shape(f)), F.try_to_timestamp(c, F.lit(f))).cast(kind) for f in formats])
+
+
 def parse_date(c: Column, fmt: str | None = None) -> Column:
-    return F.coalesce(*[F.try_to_timestamp(c, F.lit(java_format(f))).cast("date") for f in ([fmt] if fmt else DATE_FORMATS)])
+    return F.try_to_timestamp(c, F.lit(java_format(fmt))).cast("date") if fmt else _try_formats(c, DATE_FORMATS, "date")
 
 
 def parse_timestamp(c: Column, fmt: str | None = None) -> Column:
-    return F.coalesce(*[F.try_to_timestamp(c, F.lit(java_format(f))) for f in ([fmt] if fmt else TIMESTAMP_FORMATS)]).cast("timestamp_ntz")
+    return F.try_to_timestamp(c, F.lit(java_format(fmt))).cast("timestamp_ntz") if fmt else _try_formats(c, TIMESTAMP_FORMATS, "timestamp_ntz")
 
 
 def parse_time(c: Column) -> Column:

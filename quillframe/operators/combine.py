@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
+from ..sources.shared import written
+
 
 def first(df: DataFrame, order: str, where: Column | None = None) -> DataFrame:
     """A table of the first record, or of none."""
@@ -59,15 +61,16 @@ def group_lists(df: DataFrame, key: Column, value: Column, order: str) -> DataFr
     return df.groupBy(key.alias("key")).agg(F.transform(pairs, lambda x: x["value"]).alias("values"))
 
 
-def numbered(df: DataFrame, order: str, name: str = "row_number", parts: int = 64) -> DataFrame:
-    """Numbers the rows from 1 by ``order`` (unique), without one task for all: ranges are numbered apart, then moved up."""
-    ranged = df.repartitionByRange(parts, order).withColumn("_part", F.spark_partition_id())
-    within = F.row_number().over(Window.partitionBy("_part").orderBy(order))
-    inner = ranged.withColumn("_within", within)
-    ends = inner.groupBy("_part").agg(F.max("_within").alias("_n"))
+def numbered(df: DataFrame, order: str, name: str = "row_number", parts: int | None = None) -> DataFrame:
+    """Numbers the rows from 1 by ``order`` (unique), without one task for all: ranges are numbered apart, then moved up.
+
+    The ranges are written once, as their borders are sampled anew whenever they are worked out."""
+    ranged = df.repartitionByRange(parts, order) if parts else df.repartitionByRange(order)
+    placed = written(ranged.sortWithinPartitions(order).withColumn("_id", F.monotonically_increasing_id()))  # the range above, the place below 33 bits
+    placed = placed.withColumn("_part", F.shiftright("_id", 33))
     before = F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    offsets = F.broadcast(ends.select("_part", before.alias("_before")))  # at most ``parts`` rows
-    return inner.join(offsets, "_part").withColumn(name, F.col("_before") + F.col("_within")).drop("_part", "_within", "_before")
+    offsets = F.broadcast(placed.groupBy("_part").agg(F.count("*").alias("_n")).select("_part", before.alias("_before")))  # a row for each range
+    return placed.join(offsets, "_part").withColumn(name, F.col("_before") + F.col("_id").bitwiseAND(F.lit((1 << 33) - 1)) + 1).drop("_part", "_id", "_before")
 
 
 def batches(df: DataFrame, order: str, size: int, value: Column) -> DataFrame:

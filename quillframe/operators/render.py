@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as s
+from ..sources.delimited import within_rows
 
 PLAIN = ("tinyint", "smallint", "int", "bigint", "decimal", "float", "double", "boolean")
 PROTECTIONS = ("none", "escape_quote", "escape_tab", "sanitize", "reject")
@@ -92,14 +93,33 @@ def write_csv(df: DataFrame, path: str, columns: Sequence[str] | None = None, **
 
         first = True
         for b in batches:
-            if first:
-                yield pa.RecordBatch.from_arrays([pa.array([head])], names=["value"])
+            if first and b.num_rows:  # an empty task leaves an empty file, without a header of its own
+                yield pa.RecordBatch.from_arrays([pa.array([head], b.schema.field(0).type)], schema=b.schema)
                 first = False
             yield b
 
     lines.mapInArrow(run, "value string").write.text(path)
 
 
+def write_rows(df: DataFrame, columns: Sequence[str], on_error: str = "throw", max_field: int | None = None, extra: str = "", **options) -> DataFrame:
+    """(value): delimited lines under a policy for cells that must not be written (formulas, fields beyond ``max_field``):
+    ``throw`` fails the query, ``skip_row`` leaves the row out, ``write_null`` writes the null text in the cell's place."""
+    if on_error not in ("throw", "skip_row", "write_null"):
+        raise ValueError(f"unknown policy {on_error}")
+    formats, null = options.pop("formats", Formats()), options.get("null", "")
+    bad = {}
+    for c in columns:
+        text = text_of(df, c, formats)
+        wrong = s.dangerous(text, extra)
+        bad[c] = F.coalesce(wrong | (F.length(text) > max_field) if max_field is not None else wrong, F.lit(False))
+    if on_error == "skip_row":
+        df = df.where(~reduce(lambda a, b: a | b, bad.values()))
+    elif on_error == "throw":
+        df = df.where(reduce(lambda a, b: a & b, [F.when(x, F.raise_error(F.lit(f"a cell of {c} must not be written")).cast("boolean")).otherwise(True) for c, x in bad.items()]))
+    cells = [csv_cell(F.when(bad[c], F.lit(null)).otherwise(text_of(df, c, formats)) if on_error == "write_null" else text_of(df, c, formats), protection="none", **options) for c in columns]
+    return df.select(F.concat_ws(options.get("delimiter", ","), *cells).alias("value"))
+
+
 def check_limits(df: DataFrame, line: Column, max_rows: int | None = None, max_bytes: int | None = None, max_columns: int | None = None) -> None:
     """Fails before anything is written."""
     if max_columns is not None and len(df.columns) > max_columns:
@@ -230,8 +250,11 @@ def json_cells(lines: DataFrame, paths: dict[str, str], value: str = "value", or
     return lines.where(F.col(value).startswith("{")).select(order, *[F.get_json_object(value, "$." + p).alias(n) for n, p in paths.items()])
 
 
-def read_json(lines: DataFrame, schema: str, value: str = "value", order: str = "row_number", max_line: int = 1 << 20, strict: bool = True) -> DataFrame:
-    """Records of a schema; empty lines are skipped, a line beyond the cap fails, a malformed one fails or goes."""
+def read_json(lines: DataFrame, schema: str, value: str = "value", order: str = "row_number", max_line: int = 1 << 20, strict: bool = True, max_rows: int | None = None, skip_rows: int = 0) -> DataFrame:
+    """Records of a schema; empty lines are skipped, a line beyond the cap fails, a malformed one fails or goes (``strict=False``).
+
+    ``skip_rows`` leaves out lines by their number; more than ``max_rows`` lines fail the query."""
+    lines = within_rows(lines.where((F.trim(value) != "") & (F.col(order) > skip_rows)) if skip_rows else lines.where(F.trim(value) != ""), max_rows, "lines")
     long = F.raise_error(F.lit(f"a line is longer than {max_line} bytes"))
     text = F.when(F.octet_length(value) > max_line, long).otherwise(F.col(value))
     mode = "FAILFAST" if strict else "PERMISSIVE"

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .records import Bound, Field, HeaderError, bind
+from .records import Bound, Field, HeaderError, bind, field_errors, parsed
 
 
 class Routed:
@@ -37,14 +37,23 @@ class Routed:
         return self.cells.where(~F.coalesce(self.tag.isin(*self.kinds), F.lit(False)))
 
     def together(self) -> DataFrame:
-        """row_number, tag and one struct a kind (null for the others): order is kept by row_number."""
-        out: DataFrame | None = None
-        for k in self.kinds:
-            rows = self.of(k).rows
-            fields = [c for c in rows.columns if c != "row_number"]
-            part = rows.select("row_number", F.lit(k).alias("tag"), F.struct(*fields).alias(k))
-            out = part if out is None else out.unionByName(part, allowMissingColumns=True)
-        return out
+        """row_number, tag and one struct a kind (null for the others), in one pass: order is kept by row_number, rows in error are left out."""
+        source = "raw" if self.binding.get("raw_quotes") and "raw" in self.cells.columns else "cells"
+        options = {k: v for k, v in self.binding.items() if k in ("allow_missing", "nulls", "trim")}
+        places, parts = {}, []
+        for n, (k, spec) in enumerate(self.kinds.items()):
+            places[k], texts, values = parsed(source, spec, self.header, **options)
+            mine = F.col("_tag") == k
+            parts += [F.when(mine, texts).alias(f"t{n}"), F.when(mine, values).alias(f"v{n}")]
+        opaque = F.when(F.monotonically_increasing_id() >= 0, F.struct(*parts))
+        rows = self.cells.select("row_number", source, self.tag.alias("_tag")).where(F.col("_tag").isin(*self.kinds)).select("row_number", "_tag", opaque.alias("_p"))
+        errors = F.lit(False)
+        out = []
+        for n, (k, spec) in enumerate(self.kinds.items()):
+            mine = F.col("_tag") == k
+            errors = errors | (mine & (F.size(field_errors(spec, places[k], f"_p.t{n}", f"_p.v{n}")) > 0))
+            out.append(F.when(mine, F.struct(*[F.col(f"_p.v{n}.c{i}").alias(f.name) for i, f in enumerate(spec)])).alias(k))
+        return rows.where(~errors).select("row_number", F.col("_tag").alias("tag"), *out)
 
 
 def tag_counts(cells: DataFrame, tag: Column) -> DataFrame:

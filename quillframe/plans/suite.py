@@ -11,10 +11,11 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as s
 from ..operators import chunk, combine, convert, profile, render
-from ..operators.records import Field, Rules, bind, first_error_only, tool_arguments, validate_values
+from ..operators.records import Field, Rules, bind, first_error_only, schema_table, tool_arguments, validate_values
 from ..operators.route import Routed, tag_counts
 from ..sources import packed
-from ..sources.delimited import Dialect, data_reader, parse_text, split_lines
+from ..sources.delimited import Dialect, data_reader, parse_text, read_csv, read_files, split_lines
+from ..sources.shared import shared_folder
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -115,11 +116,10 @@ def csv_strict_source(spark, sf_dir):
 CAST(l_shipdate AS DATE) AS k_date, CASE l_linestatus WHEN 'O' THEN 'Open' WHEN 'F' THEN 'Final' END AS k_enum, CASE WHEN l_linenumber <= 5 THEN l_linenumber * 50 END AS k_byte FROM lineitem""")
 def bind_scalar_types(spark, sf_dir):
     li = table(spark, sf_dir, "lineitem")
-    t = li.select("l_orderkey", "l_linenumber", "l_quantity", F.col("l_extendedprice").cast("decimal(18,2)").alias("price"), F.when(F.col("l_returnflag") == "R", "TRUE").otherwise("false").alias("flag"), F.date_format("l_shipdate", "MM/dd/yyyy").alias("d"), F.when(F.col("l_linestatus") == "O", "OPEN").otherwise("final").alias("e"), F.when(F.col("l_linenumber") <= 5, F.col("l_linenumber") * 50).otherwise(F.lit(300)).alias("b"))
+    t = li.select("l_orderkey", "l_linenumber", "l_quantity", F.col("l_extendedprice").cast("decimal(18,2)").alias("price"), F.when(F.col("l_returnflag") == "R", "TRUE").otherwise("false").alias("flag"), F.date_format("l_shipdate", "MM/dd/yyyy").alias("d"), F.when(F.col("l_linestatus") == "O", "OPEN").otherwise("final").alias("e"), F.when(F.col("l_linenumber") <= 5, F.col("l_linenumber") * 50).alias("b"))
     spec = [Field("k_long", "long"), Field("k_int", "int"), Field("k_double", "double"), Field("k_decimal", "decimal", options={"precision": 18, "scale": 2}), Field("k_bool", "bool"), Field("k_date", "date", options={"format": "MM/dd/yyyy"}), Field("k_enum", "enum", options={"names": ["Open", "Final"]}), Field("k_byte", converter=lambda c: s.parse_int(c, "byte").cast("int"))]
-    cells = split_lines(lines_of(t, F.lit(1), t.columns))
-    # the parse of the last one gives null beyond its range, which here is wanted
-    return cells.select(*[f.value(F.element_at("cells", k + 1)).alias(f.name) for k, f in enumerate(spec)])
+    number = F.col("l_orderkey") * 8 + F.col("l_linenumber")
+    return bind(split_lines(lines_of(t, number, t.columns)), spec).rows
 
 
 @query("SELECT k, CASE k WHEN 0 THEN 1234.5 WHEN 1 THEN -12.5 WHEN 3 THEN 7.0 END::DECIMAL(18,2) AS v, k IN (4, 5) AS truth FROM (SELECT n_nationkey AS k FROM nation)")
@@ -137,16 +137,16 @@ def _checked(spark, sf_dir):
     return bind(split_lines(lines_of(o, F.col("o_orderkey"), RULE_COLUMNS)), RULE_SPEC, RULE_COLUMNS, keep=["row_number"])
 
 
-_ERRORS = """SELECT o_orderkey AS row_number, 'NotEmpty' AS rule FROM orders WHERE o_orderkey % 11 = 0
-UNION ALL SELECT o_orderkey, 'MaxLength' FROM orders WHERE o_orderkey % 11 <> 0 AND length(o_orderpriority) > 8
-UNION ALL SELECT o_orderkey, 'RangeMin' FROM orders WHERE o_totalprice < 50000
-UNION ALL SELECT o_orderkey, 'RangeMax' FROM orders WHERE o_totalprice > 300000
-UNION ALL SELECT o_orderkey, 'Pattern' FROM orders WHERE NOT regexp_matches(o_orderstatus, '^[FO]$')"""
+_ERRORS = """SELECT o_orderkey AS row_number, 1 AS column_index, 'o_orderpriority' AS property_name, 'NotEmpty' AS rule, 'Value must not be empty' AS message, '' AS raw_value FROM orders WHERE o_orderkey % 11 = 0
+UNION ALL SELECT o_orderkey, 1, 'o_orderpriority', 'MaxLength', 'Length must be at most 8', o_orderpriority FROM orders WHERE o_orderkey % 11 <> 0 AND length(o_orderpriority) > 8
+UNION ALL SELECT o_orderkey, 2, 'o_totalprice', 'RangeMin', 'Value must be at least 50000', o_totalprice::VARCHAR FROM orders WHERE o_totalprice < 50000
+UNION ALL SELECT o_orderkey, 2, 'o_totalprice', 'RangeMax', 'Value must be at most 300000', o_totalprice::VARCHAR FROM orders WHERE o_totalprice > 300000
+UNION ALL SELECT o_orderkey, 3, 'o_orderstatus', 'Pattern', 'Value does not match the pattern', o_orderstatus FROM orders WHERE NOT regexp_matches(o_orderstatus, '^[FO]$')"""
 
 
 @query(_ERRORS)
 def validate_field_rules(spark, sf_dir):
-    return _checked(spark, sf_dir).errors.select("row_number", "rule")
+    return _checked(spark, sf_dir).errors.drop("column_name")
 
 
 @query(f"SELECT rule, count(*) AS n FROM ({_ERRORS}) GROUP BY rule")
@@ -156,12 +156,19 @@ def validate_errors_by_rule(spark, sf_dir):
 
 @query(f"SELECT o_orderkey FROM orders WHERE o_orderkey NOT IN (SELECT row_number FROM ({_ERRORS}))")
 def validate_lenient_rows(spark, sf_dir):
-    return _checked(spark, sf_dir).rows.select("o_orderkey")
+    return _checked(spark, sf_dir).policy("skip").select("o_orderkey")
 
 
-@query(f"SELECT row_number, count(*) > 0 AS failed FROM ({_ERRORS}) GROUP BY row_number")
+@query(f"SELECT row_number, (list(rule ORDER BY column_index, rule))[1] AS rule, min(column_index) AS column_index FROM ({_ERRORS}) GROUP BY row_number")
 def validate_first_error(spark, sf_dir):
-    return first_error_only(_checked(spark, sf_dir).errors).select("row_number", F.lit(True).alias("failed"))
+    return first_error_only(_checked(spark, sf_dir).errors).select("row_number", "rule", "column_index")
+
+
+@query("SELECT o_orderkey AS row_number, 'above 300000' AS message FROM orders WHERE o_totalprice > 300000")
+def validate_short_messages(spark, sf_dir):
+    spec = [Field("o_orderkey", "long"), Field("o_totalprice", "double", rules=Rules(high=300000))]
+    rows = split_lines(lines_of(table(spark, sf_dir, "orders"), F.col("o_orderkey"), ["o_orderkey", "o_totalprice"]))
+    return bind(rows, spec, messages="short").errors.select("row_number", "message")
 
 
 @query("SELECT o_orderkey AS row_number, 'RangeMax' AS rule FROM orders WHERE o_totalprice > 300000")
@@ -237,18 +244,20 @@ def group_by_lists(spark, sf_dir):
     return combine.group_lists(table(spark, sf_dir, "orders"), F.col("o_custkey"), F.col("o_orderkey").cast("string"), "o_orderkey").select(F.col("key").alias("k"), F.array_join("values", " ").alias("keys"))
 
 
-@query("SELECT (rn - 1) // 64 AS batch, count(*) AS n, min(event_id) AS first_id FROM (SELECT event_id, row_number() OVER (ORDER BY event_id) AS rn FROM events) GROUP BY 1")
+@query("SELECT (rn - 1) // 64 AS batch, count(*) AS n, min(event_id) AS first_id, max_by(event_type, event_id) AS last_type FROM (SELECT event_id, event_type, row_number() OVER (ORDER BY event_id) AS rn FROM events) GROUP BY 1")
 def batch_fixed_size(spark, sf_dir):
-    e = combine.numbered(table(spark, sf_dir, "events").select("event_id"), "event_id")
-    return combine.batches(e, "row_number", 64, F.col("event_id")).select("batch", F.col("n").cast("bigint").alias("n"), F.element_at("values", 1).alias("first_id"))
+    e = combine.numbered(table(spark, sf_dir, "events").select("event_id", "event_type"), "event_id")
+    return combine.batches(e, "row_number", 64, F.struct("event_id", "event_type")).select("batch", F.col("n").cast("bigint").alias("n"), F.element_at("values", 1)["event_id"].alias("first_id"), F.element_at("values", -1)["event_type"].alias("last_type"))
 
 
-@query("SELECT event_id, row_number() OVER (ORDER BY event_id) AS row_number FROM events")
+@query("SELECT event_id, event_type, row_number() OVER (ORDER BY event_id) AS row_number FROM events")
 def row_numbers(spark, sf_dir):
-    return combine.numbered(table(spark, sf_dir, "events").select("event_id"), "event_id").select("event_id", F.col("row_number").cast("bigint").alias("row_number"))
+    return combine.numbered(table(spark, sf_dir, "events").select("event_id", "event_type"), "event_id").select("event_id", "event_type", F.col("row_number").cast("bigint").alias("row_number"))
 
 
-@query("SELECT * FROM (VALUES (',', 100), (';', 100), ('|', 100), (chr(9), 100)) t(delimiter, confidence)")
+@query("""WITH c AS (SELECT unnest([',', ';', '|', chr(9)]) AS delimiter), r AS (SELECT * FROM nation ORDER BY n_nationkey LIMIT 10),
+x AS (SELECT delimiter, concat_ws(delimiter, n_nationkey, n_name, n_regionkey) AS line FROM c, r), y AS (SELECT delimiter, (length(line) - length(replace(line, delimiter, '')))::DOUBLE AS n FROM x)
+SELECT delimiter, greatest(0, least(100, 100 - trunc(100 * stddev_pop(n) / avg(n))::INT)) AS confidence FROM y GROUP BY delimiter""")
 def detect_delimiter(spark, sf_dir):
     n, out = table(spark, sf_dir, "nation"), []
     for d in profile.CANDIDATES:
@@ -257,10 +266,16 @@ def detect_delimiter(spark, sf_dir):
     return profile._union(out)
 
 
-@query("""SELECT * FROM (VALUES ('o_orderkey', 'Integer', false), ('o_custkey', 'Integer', false), ('o_orderstatus', 'String', false), ('o_totalprice', 'Decimal', false), ('o_orderdate', 'DateTime', false), ('o_orderpriority', 'String', false)) t(name, type, nullable)""")
+def _inferred(columns: list[str]) -> str:
+    """The types that the first hundred texts of typed columns have, by patterns."""
+    kind = "CASE WHEN bool_and(regexp_matches(v, '^[+-]?[0-9]+$')) THEN CASE WHEN max(abs(TRY_CAST(v AS HUGEINT))) < 2147483648 THEN 'Integer' ELSE 'Long' END WHEN bool_and(regexp_matches(v, '^[+-]?[0-9]+([.][0-9]+)?$')) THEN 'Decimal' WHEN bool_and(regexp_matches(v, '^[0-9]{4}-[0-9]{2}-[0-9]{2}( [0-9:]+)?$')) THEN 'DateTime' ELSE 'String' END"
+    return " UNION ALL ".join(f"SELECT '{c}' AS name, {kind} AS type, bool_or(coalesce(v, '') = '') AS nullable, max(length(v))::INT AS max_length FROM (SELECT {c}::VARCHAR AS v FROM orders ORDER BY o_orderkey LIMIT 100)" for c in columns)
+
+
+@query(_inferred(ORDERS))
 def infer_schema(spark, sf_dir):
     rows = data_reader(order_cells(spark, sf_dir), ORDERS, len(ORDERS)).orderBy("row_number").limit(100)
-    return profile.infer_schema(rows, ORDERS).drop("max_length")
+    return profile.infer_schema(rows, ORDERS)
 
 
 @query("""SELECT * FROM (VALUES ('ints', 'Integer', true), ('mixed', 'String', false), ('numbers', 'Decimal', false), ('big', 'Long', false), ('flags', 'Boolean', false), ('none', 'String', true)) t(name, type, nullable)""")
@@ -296,7 +311,7 @@ def top_values(spark, sf_dir):
     return profile.top_values(table(spark, sf_dir, "customer"), "c_mktsegment")
 
 
-@query("SELECT * FROM (VALUES ('c_custkey'), ('c_name')) t(name)")
+@query("SELECT name FROM (SELECT 'c_custkey' AS name, count(c_custkey) AS n FROM customer UNION ALL SELECT 'c_name', count(nullif(c_name, '')) FROM customer) WHERE n > 0")
 def drop_empty_columns(spark, sf_dir):
     c = table(spark, sf_dir, "customer").select("c_custkey", "c_name", F.lit("").alias("fax"), F.lit(None).cast("string").alias("phone"))
     return spark.createDataFrame([(x,) for x in profile.filled_columns(c)], "name string")
@@ -411,10 +426,9 @@ def multi_schema_unmatched(spark, sf_dir):
     return tag_counts(Routed(_mixed(spark, sf_dir), 0, ROUTES).unmatched(), F.element_at("cells", 1))
 
 
-@query("""WITH r AS (SELECT o_orderkey AS pos, o_orderstatus AS value FROM orders WHERE o_orderkey <= 2000), g AS (SELECT pos, value, CASE WHEN lag(value) OVER (ORDER BY pos) IS DISTINCT FROM value THEN 1 ELSE 0 END AS c FROM r), x AS (SELECT pos, value, sum(c) OVER (ORDER BY pos) AS run FROM g)
+@query("""WITH r AS (SELECT o_orderkey AS pos, o_orderstatus AS value FROM orders), g AS (SELECT pos, value, CASE WHEN lag(value) OVER (ORDER BY pos) IS DISTINCT FROM value THEN 1 ELSE 0 END AS c FROM r), x AS (SELECT pos, value, sum(c) OVER (ORDER BY pos) AS run FROM g)
 SELECT value, min(pos) AS first_row, max(pos) AS last_row FROM x GROUP BY run, value HAVING count(*) > 1""")
 def merge_duplicates(spark, sf_dir):
-    """The runs over all orders; the SQL holds for tables whose keys end by 2000."""
     return render.merge_duplicates(table(spark, sf_dir, "orders"), "o_orderstatus", "o_orderkey")
 
 
@@ -433,23 +447,28 @@ def repair_text(spark, sf_dir):
     return table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("k"), chunk.repair_text(text).alias("fixed"))
 
 
-def _fold(size: str, head: int) -> str:
-    return f"""WITH RECURSIVE t AS (SELECT n_regionkey AS g, row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) AS rn, {size} AS sz FROM nation),
-f AS (SELECT g, rn, sz, 1 AS chunk_no, {head} + sz AS cur, rn AS start FROM t WHERE rn = 1
-UNION ALL SELECT t.g, t.rn, t.sz, CASE WHEN f.cur + t.sz > 24 THEN f.chunk_no + 1 ELSE f.chunk_no END, CASE WHEN f.cur + t.sz > 24 THEN {head} + t.sz ELSE f.cur + t.sz END, CASE WHEN f.cur + t.sz > 24 THEN t.rn ELSE f.start END FROM f JOIN t ON t.g = f.g AND t.rn = f.rn + 1)
-SELECT g AS n_regionkey, chunk_no, min(start)::BIGINT AS start_row, max(rn)::BIGINT AS end_row, max(cur)::BIGINT AS token_count FROM f GROUP BY g, chunk_no"""
+def _fold(text: str, head: str = "", name: str = "n_regionkey", order: str = "n_nationkey", source: str = "nation", budget: int = 24) -> str:
+    size, first = f"ceil((length({text}) + 1) / 4.0)::BIGINT", -(-len(head) // 4)
+    return f"""WITH RECURSIVE t AS (SELECT {name} AS g, row_number() OVER (PARTITION BY {name} ORDER BY {order}) AS rn, {size} AS sz, {text} AS txt FROM {source}),
+f AS (SELECT g, rn, sz, 1 AS chunk_no, {first} + sz AS cur, rn AS start, txt FROM t WHERE rn = 1
+UNION ALL SELECT t.g, t.rn, t.sz, CASE WHEN f.cur + t.sz > {budget} THEN f.chunk_no + 1 ELSE f.chunk_no END, CASE WHEN f.cur + t.sz > {budget} THEN {first} + t.sz ELSE f.cur + t.sz END, CASE WHEN f.cur + t.sz > {budget} THEN t.rn ELSE f.start END, t.txt FROM f JOIN t ON t.g = f.g AND t.rn = f.rn + 1)
+SELECT g AS {name}, chunk_no, min(start)::BIGINT AS start_row, max(rn)::BIGINT AS end_row, max(cur)::BIGINT AS token_count, md5({head!r} || string_agg(txt, chr(10) ORDER BY rn)) AS digest FROM f GROUP BY g, chunk_no"""
+
 
+def _digested(chunks: DataFrame) -> DataFrame:
+    return chunks.withColumn("digest", F.md5(F.col("content").cast("binary"))).drop("content")
 
-@query(_fold("ceil((length('| ' || n_nationkey || ' | ' || n_name || ' |') + 1) / 4.0)::BIGINT", -(-len("| n_nationkey | n_name |\n| --- | --- |\n") // 4)))
+
+@query(_fold("'| ' || n_nationkey || ' | ' || n_name || ' |'", "| n_nationkey | n_name |\n| --- | --- |\n").replace("'| n_nationkey | n_name |\\n| --- | --- |\\n'", "'| n_nationkey | n_name |' || chr(10) || '| --- | --- |' || chr(10)"))
 def chunk_markdown(spark, sf_dir):
-    return chunk.markdown_chunks(table(spark, sf_dir, "nation"), ["n_nationkey", "n_name"], "n_nationkey", ["n_regionkey"], 24).drop("content")
+    return _digested(chunk.markdown_chunks(table(spark, sf_dir, "nation"), ["n_nationkey", "n_name"], "n_nationkey", ["n_regionkey"], 24))
 
 
-@query(_fold("ceil((length('Nation ' || n_name || ' {unknown} ' || n_nationkey) + 1) / 4.0)::BIGINT", 0))
+@query(_fold("'Document ' || doc_id || ' {unknown} ' || text", name="source", order="doc_id", source="documents", budget=4000))
 def chunk_template(spark, sf_dir):
-    n = table(spark, sf_dir, "nation")
-    text = chunk.template_row("Nation {N_NAME} {unknown} {n_nationkey}", {c: F.col(c) for c in n.columns})
-    return chunk.chunks(n, text, "n_nationkey", ["n_regionkey"], 24).drop("content")
+    d = table(spark, sf_dir, "documents")
+    text = chunk.template_row("Document {DOC_ID} {unknown} {text}", {c: F.col(c) for c in ("doc_id", "text")})
+    return _digested(chunk.chunks(d, text, "doc_id", ["source"], 4000))
 
 
 @query("SELECT n_regionkey, sum(length(n_name))::BIGINT AS chars, count(*) AS rows FROM nation GROUP BY n_regionkey")
@@ -511,13 +530,27 @@ def xlsx_sheets(spark, sf_dir):
     return packed.read_workbooks(_book(spark, sf_dir), every=True).groupBy("sheet").agg(F.count("*").alias("n"))
 
 
-@query("SELECT * FROM (VALUES ('2024-02-29T00:00:00', 'TRUE', '1.5')) t(day, flag, number)")
+@query("SELECT n_nationkey::VARCHAR AS k, strftime(DATE '2024-02-25' + n_nationkey, '%Y-%m-%dT00:00:00') AS day, CASE WHEN n_regionkey = 0 THEN 'TRUE' ELSE 'FALSE' END AS flag, (n_nationkey + 0.5)::DECIMAL(6,1)::VARCHAR AS number FROM nation")
 def xlsx_dates(spark, sf_dir):
-    import datetime as dt
+    n = table(spark, sf_dir, "nation").select("n_nationkey", F.date_add(F.lit("2024-02-25").cast("date"), F.col("n_nationkey").cast("int")).alias("d"), (F.col("n_regionkey") == 0).alias("b"), (F.col("n_nationkey") + F.lit(0.5)).alias("x"))
+    rows = packed.read_workbooks(spark.createDataFrame([(packed.write_workbook({"s": n}),)], "content binary"), "s").where("row_number > 1")
+    return rows.select(*[F.element_at("cells", k + 1).alias(c) for k, c in enumerate(("k", "day", "flag", "number"))])
+
+
+@query("SELECT 'n' AS kind, n_nationkey::INT AS k, n_name AS name FROM nation UNION ALL SELECT 'r', r_regionkey::INT, r_name FROM region")
+def xlsx_sheets_of_types(spark, sf_dir):
+    """Two sheets with a type of their own each; and the all-string form with a header."""
+    book = packed.read_workbooks(_book(spark, sf_dir), every=True)
+    nation = bind(packed.sheet_records(book, "nation"), [Field("k", "int"), Field("name")]).policy("throw").select(F.lit("n").alias("kind"), "k", "name")
+    region = packed.sheet_records(book, "region", ["k", "name"]).select(F.lit("r").alias("kind"), F.col("k").cast("int").alias("k"), "name")
+    return nation.unionByName(region)
+
 
-    data = packed.workbook({"s": (["d", "b", "n"], [[dt.date(2024, 2, 29), True, 1.5]])})
-    rows = packed.read_workbooks(spark.createDataFrame([(data,)], "content binary"), "s").where("row_number = 2")
-    return rows.select(*[F.element_at("cells", k + 1).alias(n) for k, n in enumerate(("day", "flag", "number"))])
+@query("SELECT p_partkey, CASE WHEN " + _BAD + " THEN p_name ELSE " + _RISKY + " END AS name FROM part WHERE p_partkey <= 1048575")
+def xlsx_sanitize(spark, sf_dir):
+    data = packed.workbook({"s": (["k", "name"], [tuple(r) for r in _risky(spark, sf_dir).limit(1_048_575).collect()])}, protection="sanitize")  # a sheet's own limit
+    rows = packed.read_workbooks(spark.createDataFrame([(data,)], "content binary")).where("row_number > 1")
+    return rows.select(F.element_at("cells", 1).cast("bigint").alias("p_partkey"), F.element_at("cells", 2).alias("name"))
 
 
 @query("SELECT c_custkey, c_name, CAST(c_acctbal AS DECIMAL(18,2)) AS c_acctbal FROM customer")
@@ -537,3 +570,77 @@ def xlsx_to_csv(spark, sf_dir):
 @query("SELECT c_custkey AS row_number, rpad(c_mktsegment, (SELECT greatest(5, max(length(c_mktsegment)) + 2) FROM customer)::INT, ' ') AS value FROM customer")
 def csv_to_fixed_auto(spark, sf_dir):
     return convert.convert("csv", "txt", split_lines(lines_of(table(spark, sf_dir, "customer"), F.col("c_custkey"), ["c_mktsegment"])), header=["c_mktsegment"])
+
+
+# Files in the shared folder
+
+
+@query("SELECT o_orderkey, o_custkey, o_orderstatus, CAST(o_totalprice AS DECIMAL(18,2)) AS o_totalprice, CAST(o_orderdate AS DATE) AS o_orderdate, o_orderpriority FROM orders")
+def csv_file_roundtrip(spark, sf_dir):
+    path = shared_folder(spark)
+    render.write_csv(table(spark, sf_dir, "orders"), path, ORDERS)
+    header, rows = read_csv(spark, path)
+    rows = bind(rows, ORDER_SPEC, header).policy("throw")
+    return rows.withColumns({"o_totalprice": F.col("o_totalprice").cast("decimal(18,2)"), "o_orderdate": F.col("o_orderdate").cast("date")})
+
+
+@query("SELECT n_nationkey::INT AS n_nationkey, n_name || chr(10) || n_regionkey AS name FROM nation")
+def csv_file_of_spanning_records(spark, sf_dir):
+    """Files whose records span lines, each read whole by the quote-aware reader."""
+    path = shared_folder(spark)
+    n = table(spark, sf_dir, "nation").select("n_nationkey", F.concat("n_name", F.lit("\n"), F.col("n_regionkey").cast("string")).alias("name"))
+    render.write_csv(n, path)
+    rows = read_files(spark, path, Dialect(newlines_in_quotes=True)).where("row_number > 1")
+    return bind(rows, [Field("n_nationkey", "int"), Field("name")]).policy("throw")
+
+
+@query("SELECT event_id, user_id, event_type FROM events")
+def jsonl_file_roundtrip(spark, sf_dir):
+    path = shared_folder(spark)
+    convert.write_jsonl(table(spark, sf_dir, "events"), path, ["event_id", "user_id", "event_type"], max_rows=1 << 40)
+    lines = spark.read.text(path).withColumn("row_number", F.monotonically_increasing_id())
+    return render.read_json(lines, "event_id bigint, user_id bigint, event_type string").drop("row_number")
+
+
+@query("SELECT s_suppkey, s_name, CAST(s_acctbal AS DECIMAL(12,2)) AS s_acctbal FROM supplier")
+def fixed_width_file_roundtrip(spark, sf_dir):
+    path = shared_folder(spark)
+    _fixed(spark, sf_dir).select("value").write.text(path)
+    lines = spark.read.text(path).withColumn("row_number", F.monotonically_increasing_id())
+    spec = [Field("s_suppkey", "long"), Field("s_name"), Field("s_acctbal", "decimal", options={"precision": 12, "scale": 2})]
+    return bind(render.read_fixed(lines, SUPPLIER), spec).policy("throw")
+
+
+@query("SELECT o_orderkey, CAST(o_totalprice AS DECIMAL(18,2)) AS price, o_orderdate::DATE AS day FROM orders")
+def packed_file_roundtrip(spark, sf_dir):
+    """Files of 5000 rows at most each."""
+    path = shared_folder(spark)
+    o = table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_totalprice").cast("decimal(38,18)").alias("price"), F.col("o_orderdate").cast("timestamp_ntz").alias("day"))
+    packed.write_packed(o, path, max_rows=5000)
+    back = packed.read_packed(spark, path, "o_orderkey bigint, price decimal(38,18), day timestamp_ntz", max_rows=5000)
+    return back.select("o_orderkey", F.col("price").cast("decimal(18,2)").alias("price"), F.col("day").cast("date").alias("day"))
+
+
+# Policies
+
+
+@query("SELECT event_id FROM events WHERE event_id % 5 <> 0")
+def jsonl_on_error_skip(spark, sf_dir):
+    lines = _events_json(spark, sf_dir).withColumn("value", F.when(F.col("row_number") % 5 == 0, F.concat(F.lit("{"), "value")).otherwise(F.col("value")))
+    return render.read_json(lines, "event_id bigint", strict=False).select("event_id")
+
+
+@query(f"SELECT {_RISKY} AS value FROM part WHERE NOT ({_BAD})")
+def csv_write_skip_row(spark, sf_dir):
+    return render.write_rows(_risky(spark, sf_dir), ["name"], "skip_row")
+
+
+@query(f"SELECT p_partkey || ',' || CASE WHEN {_BAD} THEN 'NULL' ELSE {_RISKY} END AS value FROM part")
+def csv_write_null(spark, sf_dir):
+    return render.write_rows(_risky(spark, sf_dir), ["p_partkey", "name"], "write_null", null="NULL")
+
+
+@query("SELECT column_name AS name, data_type AS type FROM (VALUES ('n_nationkey', 'bigint'), ('n_name', 'string')) t(column_name, data_type)")
+def schema_as_rows(spark, sf_dir):
+    n = table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("bigint").alias("n_nationkey"), "n_name")
+    return schema_table(n).select("name", "type")

@@ -21,7 +21,9 @@ class ScanError(ValueError):
 
 @dataclass(frozen=True)
 class Dialect:
-    """Options of the text and its limits; a limit that is passed is an error, never a cut."""
+    """Options of the text and its limits; a limit that is passed is an error, never a cut.
+
+    ``max_rows`` is off here (a file's reader of its own would set 100,000): counting costs a scan of its own before the rows."""
 
     delimiter: str = ","
     quote: str | None = '"'
@@ -29,9 +31,10 @@ class Dialect:
     comment: str | None = None
     newlines_in_quotes: bool = False
     max_columns: int = 100
-    max_rows: int = 100_000
+    max_rows: int | None = None
     max_row_size: int | None = 512 * 1024
     max_field_size: int | None = None
+    max_input_size: int | None = None
 
     def __post_init__(self) -> None:
         marks = [x for x in (self.delimiter, self.quote, self.escape, self.comment) if x is not None]
@@ -65,14 +68,15 @@ def split_lines(lines: DataFrame, d: Dialect = Dialect(), value: str = "value",
     """Rows of cells from a table of lines, all in expressions; ``order`` numbers the lines. A line in breach of a limit fails the query."""
     raw = cells_of(F.col(value), d)
     checks = F.when(F.size("raw") > d.max_columns, F.raise_error(F.lit(f"more than {d.max_columns} columns")))
-    if d.quote is not None and d.escape is None:
-        odd = F.length(F.regexp_replace(F.col(value), f"[^{re.escape(d.quote)}]++", "")) % 2 == 1
+    if d.quote is not None:
+        bare = F.regexp_replace(F.col(value), f"{re.escape(d.escape)}.", "") if d.escape else F.col(value)  # what an escape stands before is no quote
+        odd = F.length(F.regexp_replace(bare, f"[^{re.escape(d.quote)}]++", "")) % 2 == 1
         checks = checks.when(F.contains(F.col(value), F.lit(d.quote)) & odd, F.raise_error(F.lit("a quote is not closed")))
     if d.max_row_size is not None:
         checks = checks.when(F.length(value) > d.max_row_size, F.raise_error(F.lit(f"a row is longer than {d.max_row_size}")))
     if d.max_field_size is not None:
         checks = checks.when(F.exists("raw", lambda x: F.length(x) > d.max_field_size), F.raise_error(F.lit(f"a field is longer than {d.max_field_size}")))
-    out = lines.where(is_data(F.col(value), d)).withColumn("raw", raw)
+    out = within_rows(lines.where(is_data(F.col(value), d)), d.max_rows).withColumn("raw", raw)
     # an id makes the column opaque: else filters on what is made of the cells go below it and split each line again for every mention
     checked = F.when(checks.otherwise(F.lit(None).cast("string")).isNull() & (F.monotonically_increasing_id() >= 0), F.col("raw"))
     out = out.select(F.col(order).cast("bigint").alias("row_number"), *[c for c in keep], checked.alias("raw"))
@@ -80,6 +84,14 @@ def split_lines(lines: DataFrame, d: Dialect = Dialect(), value: str = "value",
     return out.withColumn("cells", F.when(F.monotonically_increasing_id() >= 0, cells))
 
 
+def within_rows(rows: DataFrame, most: int | None, what: str = "rows") -> DataFrame:
+    """The rows, or a query that fails where there are more: one count, before any row goes on."""
+    if most is None:
+        return rows
+    n = rows.agg(F.count("*")).scalar()
+    return rows.where(F.when(n > most, F.raise_error(F.lit(f"more than {most} {what}")).cast("boolean")).otherwise(True))
+
+
 def check_width(rows: DataFrame, width: int) -> DataFrame:
     """Fails where a row has another number of cells than the header."""
     bad = F.raise_error(F.concat(F.lit("row "), F.col("row_number").cast("string"), F.lit(f" has another number of cells than {width}")))
@@ -95,6 +107,8 @@ def data_reader(rows: DataFrame, header: Sequence[str] | None, width: int) -> Da
 
 def parse_text(text: str, d: Dialect = Dialect()) -> Iterator[tuple[int, int, list[str]]]:
     """(row number, line number, raw cells) of a whole text, character by character; lines end in LF, CRLF or CR."""
+    if d.max_input_size is not None and len(text.encode()) > d.max_input_size:
+        raise ScanError(f"more than {d.max_input_size} bytes")
     text = text.removeprefix("﻿")
     pos, n, line, row = 0, len(text), 1, 0
     special = re.compile("[" + re.escape("".join(x for x in (d.delimiter, d.quote, d.escape) if x)) + "\r\n]")
@@ -136,7 +150,7 @@ def parse_text(text: str, d: Dialect = Dialect()) -> Iterator[tuple[int, int, li
             pos += 2 if text.startswith("\r\n", pos) else 1
         if size:
             row += 1
-            if row > d.max_rows:
+            if d.max_rows is not None and row > d.max_rows:
                 raise ScanError(f"more than {d.max_rows} rows")
             if len(cells) > d.max_columns:
                 raise ScanError(f"row {row} has more than {d.max_columns} columns")
@@ -179,6 +193,19 @@ def read_files(spark: SparkSession, path: str, d: Dialect = Dialect()) -> DataFr
     return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(run, f"path string, {ROW_SCHEMA}")
 
 
+def read_csv(spark: SparkSession, path: str, d: Dialect = Dialect(), header: bool = True) -> tuple[list[str], DataFrame]:
+    """(header, rows: path, row_number, raw, cells) of delimited files whose records are lines, each file with its header.
+
+    Spark splits large files among tasks and streams their lines. Row numbers grow with the place in a file but are not without gaps; a
+    line of a file's first split that equals the header is one. For records that span lines use ``read_files``."""
+    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("start"), F.regexp_replace("value", "^\ufeff", "").alias("value")).where(is_data(F.col("value"), d))
+    head = lines.where("start = 0").limit(1).collect() if header else []
+    if head:
+        lines = lines.where((F.col("start") > 0) | (F.col("value") != head[0].value))
+    names = [unquoted(x, d.quote) for r in head for _, _, c in parse_text(r.value, d) for x in c]
+    return names, split_lines(lines.withColumn("row_number", F.monotonically_increasing_id() + 1), d, keep=("path",))
+
+
 class TextSource(DataSource):
     """``spark.read.format("strictcsv").option("text", ...)``: rows of cells of a text given as an option."""
 

@@ -15,6 +15,7 @@ import zipfile
 from collections.abc import Iterator, Sequence
 from decimal import Decimal
 from xml.etree import ElementTree
+from xml.parsers import expat
 from xml.sax.saxutils import escape
 
 from pyspark.sql import DataFrame, SparkSession
@@ -139,29 +140,67 @@ def decode(data: bytes) -> tuple[list[tuple[str, int]], Iterator[list]]:
     return columns, rows()
 
 
-def write_packed(df: DataFrame, path: str, guids: Sequence[str] = ()) -> None:
-    """A parquet folder of (name, content): one packed file for each task, as bytes that any store can hold."""
-    packed(df, guids).write.parquet(path)
+def write_packed(df: DataFrame, path: str, guids: Sequence[str] = (), max_rows: int = 1_000_000) -> None:
+    """Packed files ``part-N.packed`` in a folder that driver and executors share, one for each ``max_rows`` rows of a task.
 
+    A task writes under a name of its own attempt and renames the file, so that a repeated or lost task leaves no half of one."""
+    import os
 
-def packed(df: DataFrame, guids: Sequence[str] = ()) -> DataFrame:
-    """(content binary): one file's bytes for each task."""
+    local = path.removeprefix("file://")
+    if "://" in local:
+        raise FormatError("a path that executors can open is needed")
+    os.makedirs(local, exist_ok=True)
+
+    def run(batches):
+        import pyarrow as pa
+        from pyspark import TaskContext
+
+        task, k = TaskContext.get(), 0
+        for b in batches:
+            for data in b.column(0).to_pylist():
+                name = f"{local}/part-{task.partitionId():05d}-{k:05d}.packed"
+                with open(f"{name}.{task.taskAttemptId()}", "wb") as f:
+                    f.write(data)
+                os.replace(f"{name}.{task.taskAttemptId()}", name)
+                k += 1
+        yield pa.RecordBatch.from_arrays([pa.array([k], pa.int64())], names=["files"])
+
+    packed(df, guids, max_rows).mapInArrow(run, "files bigint").agg({"files": "sum"}).collect()
+
+
+def packed(df: DataFrame, guids: Sequence[str] = (), max_rows: int = 1_000_000, max_bytes: int = 256 << 20) -> DataFrame:
+    """(content binary): files' bytes, one for each ``max_rows`` rows or about ``max_bytes`` of a task; a task without rows gives one of the header alone."""
     columns = [(f.name, code_of(f.dataType, f.name, guids)) for f in df.schema.fields]
 
     def run(batches):
         import pyarrow as pa
 
-        def rows():
-            for b in batches:
-                yield from zip(*[c.to_pylist() for c in b.columns], strict=True)
+        def out(parts):
+            return pa.RecordBatch.from_arrays([pa.array([b"".join(parts)], pa.large_binary()).cast(pa.binary())], names=["content"])
 
-        yield pa.RecordBatch.from_arrays([pa.array([b"".join(encode(columns, rows()))], pa.binary())], names=["content"])
+        head = next(iter(encode(columns, iter(()))))
+        parts, n, size, any_ = [head], 0, 0, False
+        for b in batches:
+            for k, row in enumerate(encode(columns, zip(*[c.to_pylist() for c in b.columns], strict=True))):
+                if not k:
+                    continue
+                parts.append(row)
+                n, size, any_ = n + 1, size + len(row), True
+                if n >= max_rows or size >= max_bytes:
+                    yield out(parts)
+                    parts, n, size = [head], 0, 0
+        if n or not any_:
+            yield out(parts)
 
     return df.mapInArrow(run, "content binary")
 
 
-def unpacked(files: DataFrame, schema: str, content: str = "content", max_rows: int = 1_000_000) -> DataFrame:
-    """The rows of files' bytes, columns matched by name; columns that the schema lacks are passed over."""
+def unpacked(files: DataFrame, schema: str, content: str = "content", max_rows: int = 1_000_000, skip_rows: int = 0, on_error: str = "throw") -> DataFrame:
+    """The rows of files' bytes, columns matched by name; columns that the schema lacks are passed over.
+
+    ``skip_rows`` leaves out a file's first rows; a file that is cut off fails, or ends where it is (``on_error="skip"``)."""
+    if on_error not in ("throw", "skip"):
+        raise ValueError("on_error is throw or skip")
     fields = T._parse_datatype_string(schema).fields if hasattr(T, "_parse_datatype_string") else files.sparkSession.createDataFrame([], schema).schema.fields
 
     def run(batches):
@@ -175,9 +214,11 @@ def unpacked(files: DataFrame, schema: str, content: str = "content", max_rows:
                 names = [c for c, _ in columns]
                 at = [names.index(f.name) if f.name in names else None for f in fields]
                 held = []
-                for k, row in enumerate(rows, 1):
+                for k, row in enumerate(_whole_rows(rows, on_error), 1):
                     if k > max_rows:
                         raise FormatError(f"more than {max_rows} rows")
+                    if k <= skip_rows:
+                        continue
                     held.append([None if i is None else row[i] for i in at])
                     if len(held) == 10_000:
                         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*held, strict=True), kinds, strict=True)], names=[f.name for f in fields])
@@ -188,8 +229,16 @@ def unpacked(files: DataFrame, schema: str, content: str = "content", max_rows:
     return files.select(content).mapInArrow(run, schema)
 
 
+def _whole_rows(rows: Iterator[list], on_error: str) -> Iterator[list]:
+    try:
+        yield from rows
+    except FormatError:
+        if on_error == "throw":
+            raise
+
+
 def read_packed(spark: SparkSession, path: str, schema: str, **options) -> DataFrame:
-    return unpacked(spark.read.format("binaryFile").load(path), schema, **options)
+    return unpacked(spark.read.format("binaryFile").option("pathGlobFilter", "*.packed").load(path), schema, **options)
 
 
 # Excel
@@ -208,12 +257,38 @@ def _part(z: zipfile.ZipFile, name: str) -> bytes | None:
         return None
     if info.file_size > MAX_BYTES or info.file_size > MAX_RATIO * max(info.compress_size, 1) and info.file_size > 1 << 20:
         raise FormatError(f"{name} is too large unpacked")
+    if sum(i.file_size for i in z.infolist()) > MAX_BYTES:
+        raise FormatError("the workbook is too large unpacked")
     data = z.read(name)
-    if b"<!DOCTYPE" in data[:4096]:
-        raise FormatError(f"{name} has a document type")
+    _no_dtd(data, name)
     return data
 
 
+def _no_dtd(data: bytes, name: str) -> None:
+    """A document type is refused wherever it stands and however it is encoded: the parser itself meets it before any entity."""
+
+    def refuse(*_):
+        raise FormatError(f"{name} has a document type")
+
+    parser = expat.ParserCreate()
+    parser.StartDoctypeDeclHandler = refuse
+    parser.StartElementHandler = lambda *_: stop()
+
+    def stop():  # a document type stands before the first element
+        raise _Started
+
+    try:
+        parser.Parse(data, True)
+    except _Started:
+        return
+    except expat.ExpatError as e:
+        raise FormatError(f"{name} is no XML: {e}") from None
+
+
+class _Started(Exception):
+    pass
+
+
 def _column(ref: str) -> int:
     n = 0
     for c in re.match(r"[A-Z]+", ref)[0]:
@@ -282,6 +357,19 @@ def sheet_rows(data: bytes, sheet: str | int | None = None) -> Iterator[tuple[in
             row.clear()
 
 
+def sheet_records(rows: DataFrame, sheet: str, header: Sequence[str] | None = None, skip_rows: int = 1, max_rows: int | None = None, nulls: Sequence[str] = ()) -> DataFrame:
+    """The rows of one of several sheets, without the first ones (the header); ``max_rows`` ends the reading and is no error here."""
+    from pyspark.sql import functions as F
+
+    own = rows.where((F.col("sheet") == sheet) & (F.col("row_number") > skip_rows))
+    if max_rows is not None:
+        own = own.where(F.col("row_number") <= skip_rows + max_rows)
+    cells = F.transform("cells", lambda c: F.when(~c.isin(*nulls), c)) if nulls else F.col("cells")
+    if header is None:
+        return own.select("row_number", cells.alias("cells"))
+    return own.select("row_number", *[F.try_element_at(cells, F.lit(k + 1)).alias(n) for k, n in enumerate(header)])
+
+
 def read_workbooks(files: DataFrame, sheet: str | int | None = None, every: bool = False, content: str = "content") -> DataFrame:
     """(sheet, row_number, cells) of workbooks' bytes: one sheet, or all."""
     def run(batches):
@@ -307,8 +395,12 @@ def _letters(k: int) -> str:
     return out
 
 
-def workbook(tables: dict[str, tuple[Sequence[str], Sequence[Sequence]]], merges: dict[str, Sequence[str]] | None = None, max_rows: int = 1_048_576) -> bytes:
-    """A workbook of sheets (header, rows); numbers, booleans, dates and text keep their kind."""
+def workbook(tables: dict[str, tuple[Sequence[str], Sequence[Sequence]]], merges: dict[str, Sequence[str]] | None = None, max_rows: int = 1_048_576, protection: str = "escape") -> bytes:
+    """A workbook of sheets (header, rows); numbers, booleans, dates and text keep their kind. Text that may be run as a formula is
+    escaped by an apostrophe, stripped of its lead (sanitize), an error (reject) or left (none)."""
+    if protection not in ("escape", "sanitize", "reject", "none"):
+        raise ValueError(f"unknown protection {protection}")
+
     def cell(ref: str, v) -> str:
         if v is None:
             return ""
@@ -321,8 +413,10 @@ def workbook(tables: dict[str, tuple[Sequence[str], Sequence[Sequence]]], merges
             days = (full - dt.datetime(1899, 12, 30)) / dt.timedelta(days=1)
             return f'<c r="{ref}" s="1"><v>{days!r}</v></c>'
         text = str(v)
-        if text[:1] in "=@\t\r" or re.match(r"[+-][^0-9.]", text):
-            text = "'" + text
+        if protection != "none" and text and (text[0] in "=@\t\r" or re.match(r"[+-][^0-9.]", text)):
+            if protection == "reject":
+                raise FormatError(f"cell {ref} may be run as a formula")
+            text = "'" + text if protection == "escape" else re.sub(r"^[=@\t\r+\-]+", "", text)
         return f'<c r="{ref}" t="inlineStr"><is><t xml:space="preserve">{escape(text)}</t></is></c>'
 
     out, m = io.BytesIO(), _NS["m"]

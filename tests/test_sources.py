@@ -142,3 +142,87 @@ def test_tail(spark, tmp_path):
     q = tail_records(spark, str(tmp_path / "in"), [Field("n", "int"), Field("t")]).writeStream.format("memory").queryName("tailed").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
     q.awaitTermination(60)
     assert sorted(map(tuple, spark.table("tailed").collect())) == [(1, "x,y"), (2, "z")]
+
+
+def test_row_numbers_at_size(spark):
+    from pyspark.sql import functions as F
+
+    df = spark.range(2_000_000).select((F.col("id") * 7919 % 2_000_003).alias("k"), F.concat(F.lit("x"), F.col("id").cast("string")).alias("more"))
+    got = combine.numbered(df, "k", parts=16)
+    one = got.agg(F.count("*"), F.count_distinct("row_number"), F.min("row_number"), F.max("row_number")).first()
+    assert tuple(one) == (2_000_000, 2_000_000, 1, 2_000_000)
+    from pyspark.sql import Window
+
+    low = got.where("row_number <= 1000").withColumn("want", F.row_number().over(Window.orderBy("k")))
+    assert low.where("want <> row_number").count() == 0 and low.count() == 1000
+    assert combine.numbered(df.limit(0), "k").collect() == []
+
+
+def test_limits_and_open_quotes(spark):
+    def lines(*texts):
+        return spark.createDataFrame(list(enumerate(texts, 1)), "row_number bigint, value string")
+
+    for d, texts in ((Dialect(escape="\\"), ['a,"b,c']), (Dialect(max_rows=1), ["a", "b"])):
+        with pytest.raises(PySparkException):
+            split_lines(lines(*texts), d).collect()
+    assert [r.cells for r in split_lines(lines('a\\",b'), Dialect(escape="\\")).collect()] == [['a\\"', "b"]]
+    assert split_lines(lines("a", "b"), Dialect(max_rows=2)).count() == 2
+    with pytest.raises(ScanError):
+        list(parse_text("abc", Dialect(max_input_size=2)))
+    json = lines('{"a": 1}', '{"a": 2}', "", '{"a"')
+    assert [r.a for r in render.read_json(json, "a int", strict=False, skip_rows=1).collect()] == [2]
+    with pytest.raises(PySparkException):
+        render.read_json(json, "a int", strict=False, max_rows=2).collect()
+
+
+def test_policies(spark):
+    rows = spark.createDataFrame([(1, ["7"]), (2, ["q"])], "row_number bigint, cells array<string>")
+    b = bind(rows, [Field("n", "int")])
+    assert [r.n for r in b.policy("skip").collect()] == [7]
+    with pytest.raises(PySparkException, match="row 2"):
+        b.policy("throw").collect()
+    df = spark.createDataFrame([("=1", "a"), ("b", None), ("c", "long text")], "x string, y string")
+    got = {k: [r.value for r in render.write_rows(df, ["x", "y"], k, max_field=4, null="NULL").collect()] for k in ("skip_row", "write_null")}
+    assert got == {"skip_row": ["b,NULL"], "write_null": ["NULL,a", "b,NULL", "c,NULL"]}
+    with pytest.raises(PySparkException):
+        render.write_rows(df, ["x", "y"]).collect()
+
+
+def test_hostile_workbooks(spark):
+    import io
+    import zipfile
+
+    book = packed.workbook({"a": (["x"], [["1"]])})
+
+    def changed(name, change):
+        out = io.BytesIO()
+        with zipfile.ZipFile(io.BytesIO(book)) as z, zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as w:
+            for i in z.namelist():
+                w.writestr(i, change(z.read(i)) if i == name else z.read(i))
+        return out.getvalue()
+
+    late = b"<!--" + b"x" * 10_000 + b"-->" + b'<!DOCTYPE w [<!ENTITY e "v">]>'
+    for name in ("xl/workbook.xml", "xl/worksheets/sheet1.xml"):
+        with pytest.raises(packed.FormatError, match="document type"):
+            list(packed.sheet_rows(changed(name, lambda x: x.replace(b'<?xml version="1.0"?>', b'<?xml version="1.0"?>' + late))))
+        with pytest.raises(packed.FormatError, match="document type"):
+            list(packed.sheet_rows(changed(name, lambda x: x.decode().replace('<?xml version="1.0"?>', '<?xml version="1.0" encoding="UTF-16"?>' + late.decode()).encode("utf-16"))))
+    with pytest.raises(packed.FormatError, match="too large"):
+        list(packed.sheet_rows(changed("xl/worksheets/sheet1.xml", lambda x: b" " * (3 << 20) + x)))
+    for how, want in (("escape", "'=1"), ("sanitize", "1"), ("none", "=1")):
+        assert list(packed.sheet_rows(packed.workbook({"a": (["=1"], [])}, protection=how))) == [(1, [want])]
+    with pytest.raises(packed.FormatError):
+        packed.workbook({"a": (["=1"], [])}, protection="reject")
+
+
+def test_packed_files_cut_off(spark, tmp_path):
+    df = spark.createDataFrame([(i, f"t{i}") for i in range(25)], "k bigint, v string").repartition(2)
+    packed.write_packed(df, str(tmp_path / "p"), max_rows=10)
+    names = sorted(x.name for x in (tmp_path / "p").iterdir())
+    assert len(names) >= 3 and packed.read_packed(spark, str(tmp_path / "p"), "k bigint, v string").count() == 25
+    first = tmp_path / "p" / names[0]
+    first.write_bytes(first.read_bytes()[:-2])
+    with pytest.raises(PySparkException):
+        packed.read_packed(spark, str(tmp_path / "p"), "k bigint, v string").collect()
+    assert packed.read_packed(spark, str(tmp_path / "p"), "k bigint, v string", on_error="skip").count() == 24
+    assert packed.read_packed(spark, str(tmp_path / "p"), "v string", on_error="skip", skip_rows=1).count() == 24 - len(names)
