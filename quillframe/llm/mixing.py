@@ -155,7 +155,7 @@ def fitted(cells: DataFrame, powers: dict[str, float] = POWERS, rounds: int = RO
         mass, of_whole, rest = out.agg(F.sum("mass"), F.sum(F.when(whole, F.col("mass")).otherwise(0.0)), F.sum(F.when(whole, 0.0).otherwise(F.col("weight")))).first()
         total = total or float(mass or 0)
         more = (keep * total - of_whole) / rest if total and rest else scale
-        if more <= scale:
+        if more <= scale * (1 + 1e-12):  # sums of the same rows may differ in their last digits
             break
         scale = more
     return out.select(*powers, F.least(F.lit(1.0), factor * F.lit(scale)).alias("probability"))
