@@ -39,11 +39,20 @@ def folder(spark: SparkSession) -> str:
     return _WRITTEN[-1]
 
 
+#: Whether an execution's shuffle files go when it ends.
+_DROP_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def written(df: DataFrame) -> DataFrame:
-    """The same rows, written to the shared folder and read again."""
+    """The same rows, written to the shared folder and read again. The write's shuffle files go as soon as the table stands, not when
+    the driver happens to collect garbage."""
     spark = df.sparkSession
-    path = folder(spark)
-    df.write.parquet(path)
+    path, before = folder(spark), spark.conf.get(_DROP_SHUFFLES, "false")
+    spark.conf.set(_DROP_SHUFFLES, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_DROP_SHUFFLES, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
