@@ -334,7 +334,7 @@ def _linked(n: Column, m: Column, both: Column) -> Column:
     return 100 * both >= PERCENT * (n + m - both)
 
 
-def _across(pairs: DataFrame, known: DataFrame, sets: DataFrame) -> DataFrame:
+def _across(pairs: DataFrame, known: DataFrame, sets_of: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """a, b of the pairs that link, from the answers of their components' roots where the bounds decide, else by their whole sets.
 
     A set x that shares s(x) shingles with its root r(x) holds |x| - s(x) others, and lacks |r(x)| - s(x) of the root's. So
@@ -343,7 +343,7 @@ def _across(pairs: DataFrame, known: DataFrame, sets: DataFrame) -> DataFrame:
     sizes, end = known.select("sid", "component", "n"), lambda k: known.select(F.col("sid").alias(k), F.col("component").alias(f"component_{k}"))
     asked = pairs.join(end("a"), "a").join(end("b"), "b").select(F.explode(F.array("a", "b", "component_a", "component_b")).alias("sid"))
     ends = written(asked.distinct())
-    sizes, sets = sizes.join(ends, "sid", "left_semi"), written(sets.join(ends, "sid", "left_semi"))  # of what little the pairs ask for
+    sizes, sets = sizes.join(ends, "sid", "left_semi"), sets_of(ends)  # of what little the pairs ask for
     roots = written(_intersections(sizes.where("sid <> component").select(F.col("component").alias("a"), F.col("sid").alias("b")), sets))
     own = sizes.join(roots.select(F.col("b").alias("sid"), F.col("n").alias("root_n"), "both"), "sid", "left")
     own = written(own.select("sid", "component", F.col("n").cast("bigint").alias("n"), F.coalesce("root_n", "n").cast("bigint").alias("root_n"), F.coalesce("both", "n").cast("bigint").alias("own")))
@@ -370,16 +370,21 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     levels = np.clip(np.floor(np.log2(np.maximum(counts / max(counts.mean(), 1e-9), 1))), 0, 30).astype(np.uint8)
     prefixes = own.where("doc is not null and text is not null").select("text").mapInArrow(_prefixes(levels), "token bigint, sid bigint, n int, pos int")
     lists = written(prefixes.repartition("token").sortWithinPartitions("token", "n", "sid").mapInArrow(_lists(block), LISTS))
-    # the sets of all that are in lists, once for both rounds
-    listed = written(lists.select("sid").distinct().join(owners.select("sid", "row"), "sid"))
-    sets = written(own.join(listed, "row").select("sid", "text").mapInArrow(_match_sets, "sid bigint, shingles binary").dropDuplicates(["sid"]))
     bits = owners.select("sid", "bits")
+
+    def sets_of(asked: DataFrame) -> DataFrame:
+        """sid, shingles of the sets asked for (sid, distinct): each round reads the texts of its own, which are few next to all."""
+        wanted = written(asked.join(owners.select("sid", "row"), "sid"))
+        texts = own.join(wanted, "row").select("row", F.crc32(F.col("text").cast("binary")).alias("check"), "sid", "text").dropDuplicates(["row", "check"])
+        return written(texts.select("sid", "text").mapInArrow(_match_sets, "sid bigint, shingles binary"))
+
     full = lists.join(bits, "sid").select("token", "block", "sid", "n", "pos", "bits")
     pairs = full.repartition("token", "block").sortWithinPartitions("token", "block", "n", "sid").mapInArrow(_by_cells(_one_each, ("token", "block")), "a bigint, b bigint").distinct()
-    first = written(_intersections(pairs, sets).where(_linked(F.col("n"), F.col("m"), F.col("both"))).select("a", "b"))
+    pairs = written(pairs)
+    first = written(_intersections(pairs, sets_of(pairs.select(F.explode(F.array("a", "b")).alias("sid")).distinct())).where(_linked(F.col("n"), F.col("m"), F.col("both"))).select("a", "b"))
     so_far = written(components(first).select(F.col("node").alias("sid"), "component"))
     known = owners.select("sid", "n").join(so_far, "sid", "left").select("sid", "n", F.coalesce("component", "sid").alias("component"))
-    second = written(_across(_second_pairs(lists, known.select("sid", "component"), bits, block), known.join(listed.select("sid"), "sid", "left_semi"), sets))
+    second = written(_across(_second_pairs(lists, known.select("sid", "component"), bits, block), known, sets_of))
     # components of components: few edges are left
     node = lambda k: known.select(F.col("sid").alias(k), F.col("component").alias(f"component_{k}"))
     joined = components(second.join(node("a"), "a").join(node("b"), "b").select(F.col("component_a").alias("a"), F.col("component_b").alias("b")))
