@@ -83,8 +83,12 @@ def _needed(x: np.ndarray, y: np.ndarray) -> np.ndarray:
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     hasher = t.Hasher()
     for b in batches:
-        sets = list(shingle_sets(b.column("text"), hasher))
-        yield pa.RecordBatch.from_arrays([b.column("doc"), b.column("row"), pa.array([set_id(s) if len(s) else None for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([parity(s) if len(s) else None for s in sets], pa.binary())], names=["doc", "row", "sid", "n", "bits"])
+        sid, n, bits = [], [], []
+        for s in shingle_sets(b.column("text"), hasher):  # a batch's sets are not held together
+            sid.append(set_id(s) if len(s) else None)
+            n.append(len(s))
+            bits.append(parity(s) if len(s) else None)
+        yield pa.RecordBatch.from_arrays([b.column("doc"), b.column("row"), pa.array(sid, pa.int64()), pa.array(n, pa.int64()), pa.array(bits, pa.binary())], names=["doc", "row", "sid", "n", "bits"])
 
 
 def _prefixes(levels: np.ndarray):
