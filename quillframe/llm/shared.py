@@ -6,7 +6,6 @@ import atexit
 import pickle
 import uuid
 from collections.abc import Callable, Iterator
-from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -40,30 +39,28 @@ def folder(spark: SparkSession) -> str:
     return _WRITTEN[-1]
 
 
-#: While a table is written: its shuffle files go as soon as it stands, not when the driver happens to collect garbage, and a batch for
-#: Python is of this many bytes at most (or one row), on the JVM's side too, where a batch of 10,000 long texts would be held twice.
-_SETTINGS = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxBytesPerBatch": str(4 << 20)}
+#: Whether an execution's shuffle files go when it ends, and the bytes of a batch for Python.
+_DROP_SHUFFLES, _BATCH = "spark.sql.classic.shuffleDependency.fileCleanup.enabled", "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
-@contextmanager
-def settings(spark: SparkSession) -> Iterator[None]:
-    """The session with the settings above; they are put back as they were."""
-    before = {k: spark.conf.get(k, None) for k in _SETTINGS}
-    for k, v in _SETTINGS.items():
-        spark.conf.set(k, v)
-    try:
-        yield
-    finally:
-        for k, v in before.items():
-            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+def bound_batches(spark: SparkSession) -> None:
+    """A session that does not bound the bytes of a batch for Python gets a bound of 4 MB (or one row) and keeps it, as plans run later:
+    10,000 long texts in one batch would be held by the JVM and by Python at once."""
+    if spark.conf.get(_BATCH, None) is None:
+        spark.conf.set(_BATCH, str(4 << 20))
 
 
 def written(df: DataFrame) -> DataFrame:
-    """The same rows, written to the shared folder and read again."""
+    """The same rows, written to the shared folder and read again. The write's shuffle files go as soon as the table stands, not when
+    the driver happens to collect garbage."""
     spark = df.sparkSession
-    path = folder(spark)
-    with settings(spark):
+    path, before = folder(spark), spark.conf.get(_DROP_SHUFFLES, "false")
+    bound_batches(spark)
+    spark.conf.set(_DROP_SHUFFLES, "true")
+    try:
         df.write.parquet(path)
+    finally:
+        spark.conf.set(_DROP_SHUFFLES, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -86,6 +83,7 @@ def release(spark: SparkSession, but: int = 0, last: bool = False) -> None:
 
 def shipped(spark: SparkSession, value: object) -> Callable[[], object]:
     """A value of checked size for the executors: broadcast as bytes that bring their classes along. Its ``held`` can be destroyed after use."""
+    bound_batches(spark)
     held = spark.sparkContext.broadcast(cloudpickle.dumps(value))
 
     def get() -> object:
@@ -129,8 +127,8 @@ def gram_sketch(texts: DataFrame, text: str, n: int, lower: bool) -> np.ndarray:
             yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([x.tobytes() for x in sums.values()], pa.binary())], names=["block", "counts"])
 
     parts = texts.select(F.col(text)).mapInArrow(count, "block int, counts binary")
-    with settings(texts.sparkSession):
-        rows = parts.repartition("block").mapInArrow(add, "block int, counts binary").collect()
+    bound_batches(texts.sparkSession)
+    rows = parts.repartition("block").mapInArrow(add, "block int, counts binary").collect()
     out = np.zeros((_BLOCKS, cells // _BLOCKS), np.int64)
     for r in rows:
         out[r.block] = np.frombuffer(r.counts, np.int64)

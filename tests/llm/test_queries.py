@@ -659,7 +659,7 @@ def test_pipeline_on_hard_tables(spark, tmp_path):
     assert out.count() and shared.tables_written() == before + 1 and not [x for x in shared._WRITTEN[before:-1] if os.path.exists(x)]
 
 
-def test_written_bounds_batches_and_restores_settings(spark):
+def test_batches_are_bounded(spark):
     from pyspark.sql import functions as F
 
     from quillframe.llm import shared
@@ -668,8 +668,12 @@ def test_written_bounds_batches_and_restores_settings(spark):
         for b in batches:
             yield pa.RecordBatch.from_arrays([pa.array([b.num_rows]), pa.array([b.nbytes])], names=["n", "size"])
 
-    before = {k: spark.conf.get(k, None) for k in shared._SETTINGS}
     texts = spark.range(8, numPartitions=1).select(F.when(F.col("id") % 2 == 0, F.repeat(F.lit("word "), 1_200_000)).otherwise("x").alias("text"))
-    got = shared.written(texts.mapInArrow(run, "n bigint, size bigint")).collect()
+    sizes = texts.mapInArrow(run, "n bigint, size bigint")
+    got = shared.written(sizes).collect()
     assert sum(r.n for r in got) == 8 and max(r.size for r in got) < 7_000_000  # no row is lost, a longer one is a batch nearly alone
-    assert {k: spark.conf.get(k, None) for k in shared._SETTINGS} == before
+    before = spark.conf.get(shared._BATCH)
+    spark.conf.set(shared._BATCH, "64000000")
+    shared.shipped(spark, 1)
+    assert spark.conf.get(shared._BATCH) == "64000000" and len(sizes.collect()) == 1  # a bound that is set stays
+    spark.conf.set(shared._BATCH, before)
