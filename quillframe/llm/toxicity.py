@@ -69,26 +69,32 @@ class _Entries:
 def _matrices(texts: list[str]) -> tuple[np.ndarray, _Entries, _Entries]:
     """(cells that occur, share of each word in a text, share of each cell in a word): their product is the texts' bags."""
     words, rows, places, shares, cells, owners, done, base = [], [], [], [], [], [], 0, 0
+    known = np.zeros(0, t.U64)  # a word's subwords are entered with its first step
     for w, cell, word, which, at in _bags(pa.array(texts, pa.string())):
         row = t.rows_of(at)
         words.append(w)
         rows.append((row + done).astype(np.int32))
         places.append((which + base).astype(np.int32))
         shares.append((1 / np.diff(at)[row]).astype(np.float32))
-        cells.append(cell.astype(np.int32))
-        owners.append((word + base).astype(np.int32))
+        new = ~np.isin(w, known, assume_unique=True)
+        known = np.concatenate([known, w[new]])
+        new = new[word]
+        cells.append(cell[new].astype(np.int32))
+        owners.append((word[new] + base).astype(np.int32))
         done, base = done + len(at) - 1, base + len(w)
-    keys, first, which = np.unique(np.concatenate([*words, np.zeros(0, t.U64)]), return_index=True, return_inverse=True)
-    once = np.zeros(len(which), bool)
-    once[first] = True  # a word's subwords are entered with its first step
+    keys, which = np.unique(np.concatenate([*words, np.zeros(0, t.U64)]), return_inverse=True)
     owner, cell = (np.concatenate([*x, np.zeros(0, np.int32)]) for x in (owners, cells))
-    owner, cell = which[owner[once[owner]]], cell[once[owner]]
-    used, cell = np.unique(cell, return_inverse=True)
+    del words, owners, cells
+    which = which.astype(np.int32)
+    owner, present = which[owner], np.zeros(1 << CELLS_BITS, bool)
+    present[cell] = True
+    used, cell = np.flatnonzero(present).astype(np.int32), (np.cumsum(present) - 1).astype(np.int32)[cell]
     row, place, share = (np.concatenate([*x, np.zeros(0, np.int32)]) for x in (rows, places, shares))
+    del rows, places, shares
     pair, inverse = np.unique(row.astype(np.int64) * max(len(keys), 1) + which[place], return_inverse=True)
     of_text = _Entries((pair // max(len(keys), 1)).astype(np.int32), (pair % max(len(keys), 1)).astype(np.int32), np.bincount(inverse, share), (done, len(keys)))
     size = np.bincount(owner, minlength=len(keys))
-    return used, of_text, _Entries(owner.astype(np.int32), cell.astype(np.int32), 1 / size[owner], (len(keys), len(used)))
+    return used, of_text, _Entries(owner, cell, (1 / np.maximum(size, 1))[owner], (len(keys), len(used)))
 
 
 class Model:
