@@ -226,3 +226,19 @@ def test_packed_files_cut_off(spark, tmp_path):
         packed.read_packed(spark, str(tmp_path / "p"), "k bigint, v string").collect()
     assert packed.read_packed(spark, str(tmp_path / "p"), "k bigint, v string", on_error="skip").count() == 24
     assert packed.read_packed(spark, str(tmp_path / "p"), "v string", on_error="skip", skip_rows=1).count() == 24 - len(names)
+
+
+def test_workbooks_hold_all_rows(spark):
+    import datetime as dt
+
+    df = spark.range(10).selectExpr("id", "concat('=', id) AS v", "timestamp'2024-03-01 06:00:00' AS t").coalesce(1)
+    for limits, files in (({"max_rows": 4}, 4), ({"max_rows": 6}, 2), ({"max_rows": 11}, 1), ({}, 1), ({"max_bytes": 1}, 10)):
+        books = [bytes(r.content) for r in packed.workbooks(df, "s", protection="sanitize", **limits).collect()]
+        assert len(books) == files and all(next(packed.sheet_rows(b)) == (1, ["id", "v", "t"]) for b in books)
+        back = packed.sheet_records(packed.read_workbooks(packed.workbooks(df, "s", protection="sanitize", **limits)), "s", ["id", "v", "t"]).select("id", "v", "t")
+        assert sorted(map(tuple, back.collect())) == [(str(k), str(k), dt.datetime(2024, 3, 1, 6).isoformat()) for k in range(10)]
+    assert [list(packed.sheet_rows(bytes(r.content))) for r in packed.workbooks(df.where("id < 0"), "s").collect()] == [[(1, ["id", "v", "t"])]]
+    with pytest.raises(packed.FormatError, match="more than 3 rows"):
+        packed.workbook({"s": (["k"], ([k] for k in range(3)))}, max_rows=3)
+    with pytest.raises(ValueError):
+        packed.workbooks(df, max_rows=1)

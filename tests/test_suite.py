@@ -52,3 +52,14 @@ def test_merge_duplicates_over_whole_tables(spark):
     for parts in (1, 3, 64):
         assert sorted((tuple(r) for r in render.merge_duplicates(df, "v", "at", parts).collect()), key=str) == brute(pairs)
     assert render.merge_duplicates(df.limit(0), "v", "at").collect() == []
+
+
+@pytest.mark.parametrize("second", ["second", None])
+def test_xlsx_sanitize_takes_rows_by_key(spark, tmp_path, second):
+    """Keys in no order, on both sides of the SQL's border, names that are empty or null: the rows are those of the SQL."""
+    rows = [(2_000_000, "far"), (1_048_576, "next"), (1_048_575, "last"), (0, "first"), (1, second), (2, ""), (3, "a & <b>")]
+    spark.createDataFrame(rows, "p_partkey bigint, p_name string").coalesce(1).write.parquet(str(tmp_path / "part.parquet"))
+    db = duckdb.connect()
+    db.sql(f"CREATE VIEW part AS SELECT * FROM '{tmp_path}/part.parquet/*.parquet'")
+    got = sorted(tuple(r) for r in QUERIES["xlsx_sanitize"](spark, str(tmp_path)).select("p_partkey", "name").collect())
+    assert got == sorted(db.sql(ORACLES["xlsx_sanitize"]).select("p_partkey, name").fetchall()) and len(got) == 5
